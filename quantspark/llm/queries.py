@@ -1,0 +1,92 @@
+"""The registered queries of this package: each operator over its whole table, with production parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import read_table
+from .exact_dedup import exact_dedup
+from .mixing import mix_sources
+from .packing import pack_documents
+from .quality import classify_quality
+from .records import read_token_records, write_token_records
+from .sharding import shard_documents
+from .tokenizing import vocabulary
+
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_token_records(read_table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), end_id=2)
+    return read_token_records(manifest, with_ids=False)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), capacity=2048, end_id=1)
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
+    "op4_token_records": op4_token_records,
+    "op9_packing": op9_packing,
+    "op10_sharding": op10_sharding,
+}
+
+ORACLE_SQL = {
+    "op1_mixing": """
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS k
+  FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+named AS (
+  SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::DOUBLE AS weight,
+         source_size * 2.0::DOUBLE AS cap FROM sizes),
+sums AS (
+  SELECT *, sum(source_size) OVER () AS all_words, sum(weight) OVER () AS weight_all,
+         coalesce(sum(cap) OVER w, 0) AS cap_before, coalesce(sum(weight) OVER w, 0) AS weight_before
+  FROM named WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, (1.5 * all_words - cap_before) / (weight_all - weight_before) AS lev FROM sums),
+filled AS (SELECT *, cap <= lev * weight AS is_full FROM levels),
+targets AS (
+  SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * min(CASE WHEN NOT is_full THEN lev END) OVER () END AS target
+  FROM filled),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM targets),
+placed AS (
+  SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs,
+         floor(b.target - b.epochs * b.source_size + 0.5)::BIGINT AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM placed
+""",
+    "op2_exact_dedup": """
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents),
+c AS (SELECT norm, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM t GROUP BY norm)
+SELECT t.doc_id, c.keep_id, c.group_size,
+       t.doc_id IS NOT DISTINCT FROM c.keep_id
+         AND row_number() OVER (PARTITION BY t.norm, t.doc_id ORDER BY t.doc_id) = 1 AS kept,
+       sha256(t.norm) AS text_sha256
+FROM t JOIN c USING (norm)
+""",
+}
