@@ -85,3 +85,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, with one document of each group of equal texts: its least id.
+
+    Ids are joined, not texts.  Of rows that repeat in every column one stays.
+    """
+    id_col = options.get("id_col", "doc_id")
+    stay = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates()

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .fingerprints import fingerprints_under_edit
+from .html_text import extract_html
+from .language_model import score_language
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import classify_quality
 from .records import read_token_records, write_token_records
@@ -34,6 +38,22 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_records(manifest, with_ids=False)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_under_edit(read_table(spark, sf_dir, "documents"))
+
+
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(read_table(spark, sf_dir, "documents"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), similarity=0.8, shingle_words=5)
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(read_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), capacity=2048, end_id=1)
 
@@ -47,6 +67,10 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
     "op4_token_records": op4_token_records,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_language_model": op6_language_model,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_html_text": op8_html_text,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
