@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.safe import div, gap, nonzero
 from ..functions.windows import by, calendar_fill, asof_join, change, ewma, rolling, running, trailing, trend
 
-WS = by("stock_id")
+def _ws():
+    return by("stock_id")
+
+
 #: Rows of history below which a stock has no features.
 LEAST_ROWS = 20
 YEAR = 252.0
@@ -31,11 +34,11 @@ FEATURES = (
 
 def _base(bars: DataFrame) -> DataFrame:
     """Columns that several features share."""
-    prior = F.lag("close").over(WS)
+    prior = F.lag("close").over(_ws())
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    first = bars.withColumns({"rn": F.row_number().over(WS), "prior": prior, "tp": typical, "v": F.col("volume").cast("double")})
+    first = bars.withColumns({"rn": F.row_number().over(_ws()), "prior": prior, "tp": typical, "v": F.col("volume").cast("double")})
     step = F.col("close") - F.col("prior")
-    tp_step = F.col("tp") - F.lag("tp").over(WS)
+    tp_step = F.col("tp") - F.lag("tp").over(_ws())
     spread = F.col("high") - F.col("low")
     return first.withColumns(
         {
@@ -53,7 +56,7 @@ def _base(bars: DataFrame) -> DataFrame:
 
 
 def moving_averages(df: DataFrame) -> DataFrame:
-    sma = {f"sma_{n}": rolling(F.avg, "close", WS, n) for n in (10, 20, 50, 100, 200)}
+    sma = {f"sma_{n}": rolling(F.avg, "close", _ws(), n) for n in (10, 20, 50, 100, 200)}
     df = ewma(df.withColumns(sma), {f"ema_{n}": ("close", 2 / (n + 1)) for n in (10, 20, 50)})
     gaps = {f"price_vs_{m.replace('_', '')}": gap("close", m) for m in ("sma_10", "sma_20", "sma_50", "sma_200", "ema_10", "ema_20", "ema_50")}
     return df.withColumns(
@@ -61,8 +64,8 @@ def moving_averages(df: DataFrame) -> DataFrame:
         | {
             "sma50_vs_sma200": gap("sma_50", "sma_200"),
             "ema50_vs_sma200": gap("ema_50", "sma_200"),
-            "sma50_slope": trend("sma_50", WS, 10),
-            "sma200_slope": trend("sma_200", WS, 10),
+            "sma50_slope": trend("sma_50", _ws(), 10),
+            "sma200_slope": trend("sma_200", _ws(), 10),
         }
     )
 
@@ -75,21 +78,21 @@ def momentum(df: DataFrame) -> DataFrame:
     inputs = {f"{side}_{n}": (side, 1 / n) for n in (7, 14) for side in ("gain", "loss")}
     df = ewma(df, inputs | {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27)}).withColumn("macd", F.col("fast") - F.col("slow"))
     df = ewma(df, {"macd_signal": ("macd", 2 / 10)})
-    low, high = rolling(F.min, "low", WS, 14), rolling(F.max, "high", WS, 14)
+    low, high = rolling(F.min, "low", _ws(), 14), rolling(F.max, "high", _ws(), 14)
     df = df.withColumns({"low14": low, "high14": high, "macd_histogram": F.col("macd") - F.col("macd_signal"), "rsi_14": _rsi(14), "rsi_7": _rsi(7)})
     room = F.col("high14") - F.col("low14")
     df = df.withColumn("stochastic_k", F.when(room != 0, (F.col("close") - F.col("low14")) / nonzero(room) * 100))
     spans = {5: "momentum_5d", 10: "momentum_10d", 30: "momentum_30d", 90: "momentum_90d", 180: "momentum_180d"}
     return df.withColumns(
         {
-            "stochastic_d": rolling(F.avg, "stochastic_k", WS, 3),
+            "stochastic_d": rolling(F.avg, "stochastic_k", _ws(), 3),
             "williams_r": (F.col("high14") - F.col("close")) / nonzero(room) * -100,
-            **{name: change("close", WS, n - 1) for n, name in spans.items()},
-            "roc_5d": change("close", WS, 4),
-            "weekly_return": change("close", WS, 4),
-            "roc_10d": change("close", WS, 9),
-            "roc_20d": change("close", WS, 19),
-            "daily_return": change("close", WS, 1),
+            **{name: change("close", _ws(), n - 1) for n, name in spans.items()},
+            "roc_5d": change("close", _ws(), 4),
+            "weekly_return": change("close", _ws(), 4),
+            "roc_10d": change("close", _ws(), 9),
+            "roc_20d": change("close", _ws(), 19),
+            "daily_return": change("close", _ws(), 1),
         }
     )
 
@@ -98,10 +101,10 @@ def volatility(df: DataFrame) -> DataFrame:
     df = ewma(df, {"atr_14": ("true_range", 2 / 15)})
     df = df.withColumns(
         {
-            "sd20": rolling(F.stddev_samp, "close", WS, 20),
-            "m20": rolling(F.avg, "close", WS, 20),
-            "realized_vol_20d": F.stddev_samp("log_return").over(trailing(WS, 20)) * YEAR**0.5,
-            "realized_vol_60d": F.stddev_samp("log_return").over(trailing(WS, 60)) * YEAR**0.5,
+            "sd20": rolling(F.stddev_samp, "close", _ws(), 20),
+            "m20": rolling(F.avg, "close", _ws(), 20),
+            "realized_vol_20d": F.stddev_samp("log_return").over(trailing(_ws(), 20)) * YEAR**0.5,
+            "realized_vol_60d": F.stddev_samp("log_return").over(trailing(_ws(), 60)) * YEAR**0.5,
         }
     )
     df = df.withColumns({"bollinger_upper": F.col("m20") + 2 * F.col("sd20"), "bollinger_lower": F.col("m20") - 2 * F.col("sd20")})
@@ -119,28 +122,28 @@ def volatility(df: DataFrame) -> DataFrame:
 def volume(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
-            "obv": F.sum("signed_volume").over(running(WS)),
-            "accumulation_distribution": F.sum("flow").over(running(WS)),
-            "volume_price_trend": F.sum("moved_volume").over(running(WS)),
-            "volume_ratio_10d": div(nonzero("v"), rolling(F.avg, "v", WS, 10)),
-            "volume_ratio_30d": div(nonzero("v"), rolling(F.avg, "v", WS, 30)),
-            "volume_trend_20d": trend("v", WS, 20),
+            "obv": F.sum("signed_volume").over(running(_ws())),
+            "accumulation_distribution": F.sum("flow").over(running(_ws())),
+            "volume_price_trend": F.sum("moved_volume").over(running(_ws())),
+            "volume_ratio_10d": div(nonzero("v"), rolling(F.avg, "v", _ws(), 10)),
+            "volume_ratio_30d": div(nonzero("v"), rolling(F.avg, "v", _ws(), 30)),
+            "volume_trend_20d": trend("v", _ws(), 20),
         }
     )
-    return df.withColumn("obv_trend", trend("obv", WS, 20))
+    return df.withColumn("obv_trend", trend("obv", _ws(), 20))
 
 
 def extended(df: DataFrame) -> DataFrame:
-    high, low = F.max("high").over(trailing(WS, 252)), F.min("low").over(trailing(WS, 252))
-    typical = F.collect_list("tp").over(trailing(WS, 14))
-    df = df.withColumns({"tp14": rolling(F.avg, "tp", WS, 14), "tps": typical})
+    high, low = F.max("high").over(trailing(_ws(), 252)), F.min("low").over(trailing(_ws(), 252))
+    typical = F.collect_list("tp").over(trailing(_ws(), 14))
+    df = df.withColumns({"tp14": rolling(F.avg, "tp", _ws(), 14), "tps": typical})
     spread = F.aggregate("tps", F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("tp14"))) / 14
     return df.withColumns(
         {
             "high_52w_pct": div(F.col("close") - high, high),
             "low_52w_pct": div(F.col("close") - low, low),
             "cci_14": div(F.col("tp") - F.col("tp14"), 0.015 * spread),
-            "mfi_14": 100 - 100 / (1 + rolling(F.sum, "up_flow", WS, 14) / nonzero(rolling(F.sum, "down_flow", WS, 14))),
+            "mfi_14": 100 - 100 / (1 + rolling(F.sum, "up_flow", _ws(), 14) / nonzero(rolling(F.sum, "down_flow", _ws(), 14))),
         }
     ).drop("tps")
 
@@ -153,11 +156,11 @@ def relative_strength(df: DataFrame, benchmark: DataFrame, sector_funds: DataFra
     days = df.select("sector_id", "date").distinct()
     fund_at = asof_join(days, funds, ["sector_id"], values=["fund"])
     df = df.join(at_dates, "date", "left").join(fund_at, ["sector_id", "date"], "left")
-    mine = change("close", WS, 19)
+    mine = change("close", _ws(), 19)
     return df.withColumns(
         {
-            "relative_strength_vs_spy": div(mine, change("market", WS, 19)),
-            "relative_strength_vs_sector": div(mine, change("fund", WS, 19)),
+            "relative_strength_vs_spy": div(mine, change("market", _ws(), 19)),
+            "relative_strength_vs_sector": div(mine, change("fund", _ws(), 19)),
         }
     )
 
@@ -166,11 +169,11 @@ def beta_and_correlation(df: DataFrame, benchmark: DataFrame, pairs: int = 60) -
     """Beta and correlation over the last ``pairs`` dates that stock and benchmark share."""
     market = benchmark.withColumn("market_return", change("close", by([]), 1)).select("date", "market_return")  # one row per date
     both = (
-        df.select("stock_id", "date", change("close", WS, 1).alias("r"))
+        df.select("stock_id", "date", change("close", _ws(), 1).alias("r"))
         .join(market, "date")
         .filter(F.col("r").isNotNull() & F.col("market_return").isNotNull())
     )
-    w = trailing(WS, pairs)
+    w = trailing(_ws(), pairs)
     enough = F.count(F.lit(1)).over(w) == pairs
     spread = F.var_samp("market_return").over(w)
     return both.select(
