@@ -6,10 +6,11 @@
    than every component's.  Two sketches agree in a component with the probability Jaccard of
    their weighted shingle sets.
 2. Banding: texts with the same sketch rows in a band share a bucket.  Equal texts are one node.
-3. Verification: pairs are compared by the Jaccard of their whole shingle sets.  A bucket is never
-   expanded into all its pairs: its members are compared with a hub, linked members become one
-   class, and only what lies in different classes of a bucket is compared further, where the
-   triangle inequality of the Jaccard distance to the hub leaves it possible.
+3. Verification: texts are compared by the Jaccard of their whole shingle sets.  A bucket is never
+   expanded into rows of pairs: its members are compared with a hub, and linked members become one
+   class.  What then lies in different classes of a bucket, and could be near by size and by the
+   triangle inequality of the Jaccard distance to the hub, is dealt in tiles of bounded size; a
+   tile counts common shingles by matrix products and returns links between classes only.
 4. Classes are connected components of the links.
 
 Nodes, links and sets stay in tables; the driver sees counts only.
@@ -61,7 +62,7 @@ class Shingler:
         w = np.frombuffer(b"".join([get(x) or self._word(x) for x in words]), dtype="<u8")
         n = len(w) - self.width + 1
         if n < 1:
-            return _mix(w.sum(dtype=np.uint64, keepdims=True) + _G * np.uint64(len(w))) if len(w) else w
+            return _mix(w.sum(dtype=np.uint64, keepdims=True) + np.full(1, len(w), np.uint64) * _G) if len(w) else w
         code = np.zeros(n, dtype=np.uint64)
         for i in range(self.width):
             code = _mix(code + w[i : i + n] + _G)
@@ -180,63 +181,111 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("jaccard", jaccard("x", "y")).drop("x", "y")
 
 
+#: Members of a bucket that a tile holds on each side.
+TILE = 512
+#: Shingles that a tile counts at once.
+COLUMNS = 4096
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of every two of the given distinct arrays."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[place] > 1  # an element of one set only is common to none
+    number = np.cumsum(counts > 1) - 1
+    owner, place = owner[shared], number[place[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int((counts > 1).sum()), COLUMNS):
+        i, j = np.searchsorted(place, [lo, lo + COLUMNS])
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[owner[i:j], place[i:j] - lo] = 1.0
+        out += block @ block.T
+    return out
+
+
+def _tile_links(least: float):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, "<u4") for x in pdf["shingles"]]
+        sizes = np.array([len(s) for s in sets], np.float32)
+        roots, first, root = np.unique(pdf["root"].to_numpy(), return_index=True, return_inverse=True)
+        both = common_counts(sets)
+        near = both >= (least - EPS) * (sizes[:, None] + sizes[None, :] - both)
+        a, b = np.nonzero(near & (root[:, None] < root[None, :]))
+        pairs = np.unique(np.stack([root[a], root[b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), int)
+        return pd.DataFrame({"a": [roots[x] for x in pairs[:, 0]], "b": [roots[x] for x in pairs[:, 1]]})
+
+    return links
+
+
 def link_buckets(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Components over all pairs of one bucket whose Jaccard is at least ``least``: (node, root).
 
     ``members`` (bucket, node, size) may hold buckets of any number of nodes; ``sets`` (node,
-    shingles) is their exact form.  Nodes without a link are left out.
+    shingles) is their exact form.  Nodes without a link are left out.  Tables that grow with the
+    input are joined by shuffles at every size, never broadcast.
     """
     short = F.xxhash64("node")
     busy = members.groupBy("bucket").agg(F.min(short).alias("h0"), F.max(short).alias("h1"), F.count(F.lit(1)).alias("n")).filter("h0 <> h1")
-    company = materialize(members.join(busy.select("bucket", "n"), "bucket"), "near-company").distinct()
+    company = materialize(members.join(busy.select("bucket", "n").hint("merge"), "bucket"), "near-company").distinct()
     # a text that others were copied from shares more and larger buckets than its copies: it is the hub
     degree = company.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = company.join(degree, "node").withColumn("turn", F.struct(-F.col("degree"), F.xxhash64("bucket", "node"), "node", "size"))
+    sets = materialize(sets.join(degree.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    ranked = company.join(degree.hint("merge"), "node").withColumn("turn", F.struct(-F.col("degree"), F.xxhash64("bucket", "node"), "node", "size"))
     hubs = ranked.groupBy("bucket").agg(F.min("turn").alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
-    shared = materialize(company.select("bucket", "node", "size").join(hubs, "bucket"), "near-shared")
+    shared = materialize(company.select("bucket", "node", "size").join(hubs.hint("merge"), "bucket"), "near-shared")
     possible = F.least("size", "hub_size") >= F.lit(least) * F.greatest("size", "hub_size")
     first = shared.filter((F.col("node") != F.col("hub")) & possible).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    tested = materialize(_verified(first, _of(sets, first)), "near-tested")
-    links = tested.filter(F.col("jaccard") >= least).select("a", "b")
+    tested = materialize(_verified(first, sets), "near-tested")
+    links = tested.filter(F.col("jaccard") >= least - EPS).select("a", "b")
     roots = connect(links, "near-roots")
 
-    # what a bucket still leaves open: pairs in different classes, neither of which is the hub
-    placed = (
-        shared.join(roots, "node", "left")
+    # what a bucket still leaves open: members of different classes
+    placed = materialize(
+        shared.join(roots.hint("merge"), "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
         .withColumn("a", F.least("node", "hub"))
         .withColumn("b", F.greatest("node", "hub"))
-        .join(tested, ["a", "b"], "left")
-        .withColumn("far", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(1.0 - F.col("jaccard")))
-        .select("bucket", "node", "size", "root", "far", (F.col("node") == F.col("hub")).alias("is_hub"))
+        .join(tested.hint("merge"), ["a", "b"], "left")
+        .withColumn("far", 1.0 - F.col("jaccard"))
+        .filter(F.col("node") != F.col("hub"))
+        .select("bucket", "node", "size", "root", "far"),
+        "near-placed",
     )
-    placed = materialize(placed, "near-placed")
     split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    rest = placed.join(split, "bucket", "left_semi")
-    # one side of a pair lies outside the bucket's largest class, so that class is never paired with itself
-    main = (
-        rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main")).select("bucket", F.col("main.root").alias("main"))
+    rest = placed.join(split.hint("merge"), "bucket", "left_semi")
+    # a member of the largest class counts only where one outside that class may be near it
+    per_root = rest.groupBy("bucket", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.min("size").alias("s0"), F.max("size").alias("s1"),
+        F.min(F.coalesce("far", F.lit(0.0))).alias("f0"), F.max(F.coalesce("far", F.lit(1.0))).alias("f1"),
+    )
+    main = per_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main")).select("bucket", F.col("main.root").alias("main"))
+    others = (
+        per_root.join(main.hint("merge"), "bucket").filter("root <> main")
+        .groupBy("bucket", "main")
+        .agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("f0").alias("f0"), F.max("f1").alias("f1"))
+    )
+    slack = F.lit(1.0 - least + EPS)
+    may = (
+        (F.col("root") != F.col("main"))
+        | (F.col("size") >= F.col("s0") * least) & (F.col("size") * least <= F.col("s1"))
+        & (F.col("far").isNull() | (F.col("far") >= F.col("f0") - slack) & (F.col("far") <= F.col("f1") + slack))
     )
-    rest = materialize(rest.filter("not is_hub").join(main, "bucket"), "near-rest")
-    x = rest.filter("root <> main").select("bucket", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"), F.col("far").alias("fa"))
-    y = rest.select("bucket", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"), F.col("far").alias("fb"))
-    near = (
-        (F.col("ra") != F.col("rb"))
-        & (F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb"))
-        & (F.col("fa").isNull() | F.col("fb").isNull() | (F.abs(F.col("fa") - F.col("fb")) <= 1.0 - least + EPS))
+    rest = rest.join(others.hint("merge"), "bucket").filter(may).select("bucket", "node", "root")
+    rest = materialize(rest, "near-rest")
+    open_ = rest.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).filter("r0 <> r1")
+    open_ = open_.select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    tiles = (
+        rest.join(open_.hint("merge"), "bucket")
+        .withColumn("block", block)
+        .withColumn("with_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", "node", "root", F.least("block", "with_block").alias("i"), F.greatest("block", "with_block").alias("j"))
     )
-    more = materialize(x.join(y, "bucket").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-more")
-    if more.isEmpty():
-        return roots
-    found = _verified(more, _of(sets, more)).filter(F.col("jaccard") >= least).select("a", "b")
-    return connect(links.unionByName(found), "near-roots")
-
-
-def _of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets that some pair needs, one row per node."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    found = tiles.join(sets.hint("merge"), "node").groupBy("bucket", "i", "j").applyInPandas(_tile_links(least), "a binary, b binary")
+    found = materialize(found.distinct(), "near-links")
+    return roots if found.isEmpty() else connect(links.unionByName(found), "near-roots")
 
 
 def near_duplicates(
@@ -259,7 +308,7 @@ def near_duplicates(
     copies = sketched.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     placed = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lead = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")
-    classes = placed.groupBy("root").agg(F.min(lead).alias("lead"), F.sum("copies").alias("class_size"))
+    classes = materialize(placed.groupBy("root").agg(F.min(lead).alias("lead"), F.sum("copies").alias("class_size")), "near-classes")
     first = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("node") == F.col("lead.node")) & (F.col("copy") == 1)
     every = expand_copies(placed.join(classes, "root"), "copies", "copy")
     return every.select("doc_id", F.col("lead.doc_id").alias("class_id"), "class_size", first.alias("is_first"))
