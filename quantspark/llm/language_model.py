@@ -213,6 +213,23 @@ def train_model(training: DataFrame, vocabulary, prior: np.ndarray, dims: int, s
     return LogBilinear.of(total / seen, len(prior), dims) if seen else start
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most ``most`` words of at most LONGEST_KNOWN bytes, by falling count and then by bytes.
+
+    Counts are binned by their logarithm (at most 64 times 64 bins), and the fullest set of upper
+    bins that fits is fetched, so that tasks send no more rows than the driver keeps.
+    """
+    short = counts.filter(F.length("word") <= LONGEST_KNOWN).withColumn("bin", F.floor(F.log2("count") * 64))
+    sizes = sorted(short.groupBy("bin").count().collect(), reverse=True)
+    taken, least = 0, None
+    for bin_, n in sizes:
+        if taken + n > most:
+            break
+        taken, least = taken + n, bin_
+    rows = short.filter(F.col("bin") >= least).select("word", "count").collect() if taken else []
+    return sorted(((bytes(w), n) for w, n in rows), key=lambda x: (-x[1], x[0]))
+
+
 SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare map<binary,bigint>"
 
 
@@ -242,8 +259,7 @@ def score_language(
     in_words, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = in_words + ends, distinct + (ends > 0)
 
-    listed = counts.filter(F.length("word") <= LONGEST_KNOWN).orderBy(F.desc("count"), "word").limit(known_words).collect()
-    v = Vocabulary([(bytes(r["word"]), r["count"]) for r in listed], classes)
+    v = Vocabulary(_most_frequent(counts, known_words), classes)
     vocabulary = spark.sparkContext.broadcast(v)
     prior = np.full(classes, 0.5)
     prior[0] += ends
