@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand_copies, materialize, text_or_empty
+from .common import expand_copies, free_name, materialize, text_or_empty
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -94,7 +94,7 @@ def prob_minhash(codes: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs:
     return sketch.reshape(docs, size)
 
 
-SKETCH = "doc_id long, node binary, size int, bands array<long>, shingles binary"
+SKETCH = "doc_id long, text_hash long, node binary, size int, bands array<long>, shingles binary"
 
 
 def _sketcher(width: int, bands: int, rows: int):
@@ -133,7 +133,7 @@ def _sketcher(width: int, bands: int, rows: int):
                     blobs[i] = np.unique((s[0] >> np.uint64(32)).astype("<u4")).tobytes()  # 32 bits of each shingle
                     at += 1
         lengths = [0 if b is None else len(b) // 4 for b in blobs]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "node": nodes, "size": lengths, "bands": band_rows, "shingles": blobs})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "node": nodes, "size": lengths, "bands": band_rows, "shingles": blobs})
 
     return sketch
 
@@ -291,7 +291,7 @@ def link_buckets(members: DataFrame, sets: DataFrame, least: float) -> DataFrame
 def near_duplicates(
     docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: ``doc_id, class_id, class_size, is_first``.
+    """One row per input row: ``doc_id, class_id, class_size, is_first, text_hash``.
 
     Documents are linked when the Jaccard of their sets of ``shingle_words``-word shingles (words
     lower-cased A-Z, split at separators) is at least ``similarity``, or when their words are the
@@ -300,25 +300,30 @@ def near_duplicates(
     ``is_first`` marks one row of each class, whatever rows repeat.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    source = source.withColumn("text_hash", F.xxhash64("text"))
     sketched = materialize(source.mapInPandas(_sketcher(shingle_words, bands, rows), SKETCH), "near-sketch")
     fresh = sketched.filter(F.col("bands").isNotNull())
     members = fresh.select("node", "size", F.explode("bands").alias("bucket"))
     roots = link_buckets(members, fresh.select("node", "shingles"), similarity)
 
-    copies = sketched.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    copies = sketched.groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     placed = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lead = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")
+    lead = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node", "text_hash")
     classes = materialize(placed.groupBy("root").agg(F.min(lead).alias("lead"), F.sum("copies").alias("class_size")), "near-classes")
-    first = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("node") == F.col("lead.node")) & (F.col("copy") == 1)
+    first = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("node") == F.col("lead.node")) & (F.col("text_hash") == F.col("lead.text_hash")) & (F.col("copy") == 1)
     every = expand_copies(placed.join(classes, "root"), "copies", "copy")
-    return every.select("doc_id", F.col("lead.doc_id").alias("class_id"), "class_size", first.alias("is_first"))
+    return every.select("doc_id", F.col("lead.doc_id").alias("class_id"), "class_size", first.alias("is_first"), "text_hash")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, columns unchanged, with one document of each class: its least id.
 
-    Where rows repeat with the id that stays, one of those that are equal in every column stays.
+    Rows are found again by id and text hash, and repeats of a row that stays are dropped where the
+    join has brought them together, so texts are shuffled once.
     """
-    id_col = options.get("id_col", "doc_id")
-    stay = near_duplicates(docs, **options).filter("is_first").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates()
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    key, hash_, mine = (free_name(docs, x) for x in ("first_id", "first_hash", "own_hash"))
+    stay = near_duplicates(docs, **options).filter("is_first").select(F.col("doc_id").alias(key), F.col("text_hash").alias(hash_))
+    marked = docs.withColumn(mine, F.xxhash64(text_or_empty(text_col)))
+    found = marked.join(stay.distinct(), (F.col(mine) == F.col(hash_)) & marked[id_col].eqNullSafe(F.col(key)), "left_semi")
+    return found.dropDuplicates([id_col, mine]).drop(mine)
