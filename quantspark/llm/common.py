@@ -12,7 +12,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The bytes that separate words everywhere in this package: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +40,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
@@ -89,10 +96,6 @@ def with_exclusive_prefix(df: DataFrame, group: list[str], cell: str, order: lis
     )
 
 
-def schema_of(fields: str) -> T.StructType:
-    return T._parse_datatype_string(fields) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(fields)
-
-
 def expand_copies(df: DataFrame, copies: str, index: str) -> DataFrame:
     """One row per copy, numbered from 1 in ``index``; undoes a count of repeated rows."""
     return df.withColumn(index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(copies)

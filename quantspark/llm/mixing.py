@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cell_bits, materialize, text_or_empty, with_exclusive_prefix, word_count
+from .common import cell_bits, free_name, materialize, text_or_empty, with_exclusive_prefix, word_count
 
 ROWS_PER_RANGE = 8192
 
@@ -102,10 +102,8 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     the mix takes no words of are left out; rows come back once per pass that takes words of them.
     """
     id_col = options.get("id_col", "doc_id")
+    key, times, turn = (free_name(docs, x) for x in ("mix_id", "mix_passes", "mix_pass"))
     passes = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
-    plan = mix_sources(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(passes).alias("__passes"))
-    return (
-        docs.join(plan, docs[id_col].eqNullSafe(F.col("__id")))
-        .withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__passes"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    plan = mix_sources(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(passes).alias(times))
+    found = docs.join(plan, docs[id_col].eqNullSafe(F.col(key)))
+    return found.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[docs[c] for c in docs.columns])

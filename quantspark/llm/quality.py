@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32_mod, text_or_empty
+from .common import free_name, id_crc32_mod, text_or_empty
 
 HASH_BITS = 18
 _RUNS = re.compile(r"[^\W_]+|[\W_]+")
@@ -130,17 +130,15 @@ def train_quality(
     return (total / max(1, seen)).astype(np.float32)
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with ``__score`` (probability of label 1) and ``__predicted`` for every whole text.
+def quality_score(spark, weights: np.ndarray):
+    """A column function from texts to the probability of label 1, over whole texts.
 
     Null texts count as empty; an empty text has the score of the bias alone.
     """
-    from pyspark.sql.functions import pandas_udf
-
     bits = (len(weights) - 1).bit_length() - 1
-    sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bits + 1 floats, whatever the input
+    sent = spark.sparkContext.broadcast(weights)  # 2**bits + 1 floats, whatever the input
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, hasher = sent.value, TokenHasher()
         for texts in batches:
@@ -150,19 +148,18 @@ def score_quality(docs: DataFrame, weights: np.ndarray, threshold: float = 0.7)
                 out[i] = w[-1] + (SCALE * float(w[slots].sum(dtype=np.float64)) / len(slots) if len(slots) else 0.0)
             yield pd.Series(_sigmoid(out))
 
-    scored = docs.withColumn("__score", score(text_or_empty()))
-    return scored.withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
+    return lambda text_col="text": score(text_or_empty(text_col))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
-    scored = score_quality(docs.select("doc_id", "text"), train_quality(docs, labels, **options), threshold)
-    return scored.select(
-        "doc_id", (id_crc32_mod("doc_id", 4) == 2).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted")
-    )
+    score = quality_score(docs.sparkSession, train_quality(docs, labels, **options))
+    scored = docs.select("doc_id", (id_crc32_mod("doc_id", 4) == 2).alias("held_out"), score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs``, columns unchanged, that the classifier accepts."""
-    scored = score_quality(docs, train_quality(docs, labels, **options), threshold)
-    return scored.filter("__predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = quality_score(docs.sparkSession, train_quality(docs, labels, **options))
+    name = free_name(docs, "quality_score")
+    return docs.withColumn(name, score()).filter(F.col(name) >= threshold).drop(name)
