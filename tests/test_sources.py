@@ -81,3 +81,23 @@ def test_stream_counts_and_upserts(spark, tmp_path):
     daily.upsert_stream(daily.windowed_counts(events), lambda df: counted.extend(df.collect()), str(tmp_path / "b")).awaitTermination(60)
     assert sorted(r.event_id for r in once) == list(range(10))
     assert sum(r.n for r in counted if r.as_of == dt.datetime(2024, 1, 5)) == 11
+
+
+def test_command_line_features_and_predictions(spark, tmp_path, smallest):
+    from quantspark import cli
+    from quantspark.operators import models
+
+    out = str(tmp_path / "store")
+    assert cli.setup(spark, smallest, out).count() == 25
+    run = cli.features(spark, smallest, out, "2001-06-30").first()
+    assert run.status == "ok" and run.technical > 0 and run.fundamental == 25
+    db = store.TableStore(spark, out)
+    before = db.read("technical_features").count()
+    cli.features(spark, smallest, out, "2001-06-30", skip_macro=True)
+    assert db.read("technical_features").count() == before and db.read("macro_features").count() == 1 and db.read("pipeline_runs").count() == 2
+    rows = db.read("technical_features").withColumn("label", F.pmod("stock_id", F.lit(4)).cast("int"))
+    models.fit_forest(rows, ["rsi_14", "momentum_30d"], trees=5).write().overwrite().save(f"{out}/models/latest")
+    top = cli.predict(spark, out, None, "latest", 5, False)
+    assert top.columns == ["ticker", "date", "expected_return", "conviction", "action"]
+    assert db.read("predictions").count() == before
+    assert cli.main(["status", out]) == 0
