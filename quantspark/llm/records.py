@@ -31,7 +31,7 @@ MASK_ROTATE = 15
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL, KEY = "<QI", "<I", "<Bq"
 HEAD_SIZE, TAIL_SIZE, KEY_SIZE = map(struct.calcsize, (HEAD, TAIL, KEY))
-TEXTS_PER_BATCH = 1024
+TEXTS_PER_BATCH = 2048
 
 
 def masked_checksum(data: bytes) -> int:

@@ -29,18 +29,21 @@ def vocabulary(name: str) -> str:
 class PieceEncoder:
     """Encodes texts to little-endian id bytes.  ``keep`` bounds the cached pieces.
 
-    A batch needs its own pieces at once; older ones are dropped when the cache passes ``keep``.
+    A batch needs its own pieces at once.  When the recent pieces pass ``keep`` they become the
+    older ones, and the older ones before them go; a piece that is met again is recent again.
     """
 
-    def __init__(self, path: str, width: str, keep: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, width: str, keep: int = 350_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._width, self._size, self._keep, self._longest = width, np.dtype(width).itemsize, keep, longest
         self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
         self._sep = self._separator()
+        self._merger = self._plain_merger()
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
@@ -57,17 +60,71 @@ class PieceEncoder:
                 return c
         return None
 
+    def _plain_merger(self):
+        """The same merges without the text-splitting step, for words in the byte alphabet; None where that differs.
+
+        Byte-level vocabularies write a byte as a visible character, by a fixed rule; a word so
+        written needs no splitting pattern.  The space before a word is written where the vocabulary
+        has it.
+        """
+        from tokenizers import pre_tokenizers
+
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self._alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        merger = type(self._tokenizer).from_str(self._tokenizer.to_str())
+        merger.normalizer, merger.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self._ascii_only = self._tokenizer.normalizer is not None
+        self._lead = self._alphabet[32] if self._ids(" a") != self._ids("a") else ""
+        self._lower = self._ids("Aa") == self._ids("aa")
+        self._stop = self._alphabet[13] if self._lead else "|"
+        mark = merger.encode(self._stop, add_special_tokens=False).ids
+        if len(mark) != 1:
+            return None
+        self._merger_mark = mark[0]
+        probe = ["a", "Zebra", "mixedCase", "abcdefghij", *([] if self._ascii_only else ["é", "ñandú", "中文", "straße"])]
+        return merger if self._merge(merger, probe) == [self._pack(self._ids(" " + w)) for w in probe] else None
+
+    def _merge(self, merger, words: list[str]) -> list[bytes]:
+        text = "\n".join(words)
+        if self._lower:
+            text = text.lower()  # ASCII only, see _encode_plain
+        written = text.encode().decode("latin-1").translate({b: c for b, c in self._alphabet.items() if b != 10})
+        joined = self._lead + written.replace("\n", f" {self._stop} {self._lead}")
+        ids = np.asarray(merger.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self._width)
+        return self._at_marks(ids, self._merger_mark)
+
+    def _at_marks(self, ids: np.ndarray, mark: int) -> list[bytes]:
+        at = np.flatnonzero(ids == mark) * self._size
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(at + self._size).tolist()], [*at.tolist(), len(raw)])]
+
     def _encode_plain(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces without white space, each after a space."""
+        """Ids of words of letters only, each after a space, in the order given."""
+        if self._merger is not None and words:
+            plain = [w for w in words if w.isascii()] if self._ascii_only else words
+            if plain:
+                found = dict(zip(plain, self._merge(self._merger, plain)))
+                rest = [w for w in words if w not in found]
+                found.update(zip(rest, self._encode_split(rest)))
+                return [found[w] for w in words]
+        return self._encode_split(words)
+
+    def _encode_split(self, words: list[str]) -> list[bytes]:
         if self._sep is None or not words:
             return [self._pack(e.ids) for e in self._tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
         joined = self._tokenizer.encode_batch_fast([self._sep.join([" " + w for w in words])], add_special_tokens=False)[0].ids
         ids = np.asarray(joined, dtype=self._width)
-        at = np.flatnonzero(ids == self._mark) * self._size
-        if len(at) != len(words) - 1:
-            return [self._pack(self._ids(" " + w)) for w in words]
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *(at + self._size).tolist()], [*at.tolist(), len(raw)])]
+        found = self._at_marks(ids, self._mark)
+        return found if len(found) == len(words) else [self._pack(self._ids(" " + w)) for w in words]
+
+    def _recall(self, pieces: set[str]) -> None:
+        """Drop the cached ones from ``pieces``."""
+        pieces.difference_update(self._pieces)
+        old = self._older
+        for p in pieces & old.keys():
+            self._pieces[p] = old[p]
+        pieces.difference_update(old)
 
     def _learn(self, pieces: set[str]) -> None:
         known, plain, made, odd = self._pieces, set(), [], []
@@ -80,7 +137,7 @@ class PieceEncoder:
                 plain.add(p)
             else:
                 odd.append(p)
-        plain.difference_update(known)
+        self._recall(plain)
         words = list(plain)
         known.update(zip(words, self._encode_plain(words)))
         for p, stem, tail in made:
@@ -103,11 +160,11 @@ class PieceEncoder:
         """Id bytes of each text, the same as of encoding it whole."""
         cut = [self._cut(t) if t else [] for t in texts]
         if len(self._pieces) > self._keep:
-            self._pieces.clear()
+            self._older, self._pieces = self._pieces, {}
         need: set[str] = set()
         for c in cut:
             need.update(c[1:])
-        need.difference_update(self._pieces)
+        self._recall(need)
         self._learn(need)
         first = self._tokenizer.encode_batch_fast([c[0] for c in cut if c], add_special_tokens=False)
         heads = iter(first)
