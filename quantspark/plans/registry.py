@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["technical", "fundamental", "market_context", "modelling"]
+GROUPS = ["technical", "fundamental", "market_context", "modelling", "storage"]
 
 
 def _merged(attribute: str) -> dict:
