@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
 A text is split at white space; each word gives a token for its letters and digits and one for the
-punctuation after or before them, case kept.  Features are hashed token 1-grams and 2-grams with
-their relative frequency in the text as value, so a score is a sparse dot product that texts of
+punctuation after or before them, case kept.  Features are hashed token 1-grams and 2-grams, and
+marks for repeated tokens, with their relative frequency in the text as value, so a score is a sparse dot product that texts of
 any length can share.  Labels only pick and mark training rows; language, source and id are never
 features.
 """
@@ -47,13 +47,22 @@ class TokenHasher:
         return np.frombuffer(b"".join([get(w) or self._word(w) for w in words]), dtype="<u4").astype(np.uint64)
 
 
+#: What stands for an n-gram whose last token is the one before, or the one before that.
+_AGAIN = (np.uint64(0x51ED270B35A1C9D7), np.uint64(0xA24BAED4963EE407))
+
+
 def feature_slots(tokens: np.ndarray, bits: int = HASH_BITS) -> np.ndarray:
-    """Slot of each 1-gram and 2-gram, repeats included."""
+    """Slot of each 1-gram and 2-gram, repeats included.
+
+    N-grams that repeat a token also count under one slot for all tokens, so that stuttering text
+    is known by its form whatever its words are.
+    """
     if not len(tokens):
         return np.zeros(0, dtype=np.int64)
     one = tokens * _MIX
     two = (tokens[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + tokens[1:]) * _MIX
-    return (np.concatenate([one, two]) >> np.uint64(64 - bits)).astype(np.int64)
+    again = [np.full(int((tokens[k:] == tokens[:-k]).sum()), _AGAIN[k - 1] * np.ones(1, np.uint64) * _MIX) for k in (1, 2)]
+    return (np.concatenate([one, two, *again]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _sigmoid(x):
@@ -101,10 +110,10 @@ def train_quality(
     max_rows: int = 8192,
     learners: int = 4,
     passes: int = 4,
-    alpha: float = 1.0,
+    alpha: float = 3.0,
     beta: float = 1.0,
     l1: float = 0.05,
-    l2: float = 1.0,
+    l2: float = 0.0,
     bits: int = HASH_BITS,
 ) -> np.ndarray:
     """Weights (``2**bits`` and a bias) learnt from at most ``max_rows`` labelled documents.
