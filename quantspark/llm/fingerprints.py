@@ -120,7 +120,7 @@ def fingerprint_documents(docs: DataFrame, chain: int = 2, spacing: int = 1, id_
 
 def _bounds(rows: DataFrame, parts: int) -> list[int]:
     """Ids that start the id ranges, the least id first; each is an id of some row."""
-    least, found = rows.agg(F.min("k"), F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()
+    least, found = rows.agg(F.min("k"), F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))).first()
     return [] if least is None else sorted({least, *found})
 
 
