@@ -6,7 +6,9 @@ executor costs only the tasks it ran.  Nothing here collects rows of documents.
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -20,10 +22,14 @@ _LOOSE_SPACE = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the session's shared folder (``spark.checkpoint.dir``)."""
+    """A fresh path below the session's shared folder (``spark.checkpoint.dir``).
+
+    Where the setting is missing (tests on one machine) a temporary folder takes its place.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="quantspark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quantspark/{name}-{uuid.uuid4().hex}"
 
@@ -96,6 +102,21 @@ def with_exclusive_prefix(df: DataFrame, group: list[str], cell: str, order: lis
     )
 
 
+def keep_rows(docs: DataFrame, id_col: str, mark: Column, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id (nulls included) and ``mark`` are in ``stay`` (id, mark), each once.
+
+    The id is split into a value and a null flag, so that the join and the removal of repeats share
+    one shuffle by the same three columns.
+    """
+    names = [free_name(docs, x) for x in ("row_mark", "row_id", "row_nameless")]
+
+    def keyed(df: DataFrame, id_: Column, mark_: Column) -> DataFrame:
+        return df.withColumns(dict(zip(names, (mark_, F.coalesce(id_.cast("long"), F.lit(0)), id_.isNull()))))
+
+    wanted = keyed(stay, F.col("id"), F.col("mark")).select(names).distinct()
+    return keyed(docs, docs[id_col], mark).join(wanted, names, "left_semi").dropDuplicates(names).select(docs.columns)
+
+
 def expand_copies(df: DataFrame, copies: str, index: str) -> DataFrame:
     """One row per copy, numbered from 1 in ``index``; undoes a count of repeated rows."""
     return df.withColumn(index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(copies)

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand_copies, free_name, materialize, squeeze_space, text_or_empty, top_bits
+from .common import expand_copies, keep_rows, materialize, squeeze_space, text_or_empty, top_bits
 
 
 def default_key(text: Column) -> Column:
@@ -94,8 +94,5 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     join has brought them together, so texts are shuffled once.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    key, sha, mine = (free_name(docs, x) for x in ("kept_id", "kept_sha", "own_sha"))
-    stay = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
-    marked = docs.withColumn(mine, F.sha2(squeeze_space(text_or_empty(text_col)), 256))
-    found = marked.join(stay.distinct(), (F.col(mine) == F.col(sha)) & marked[id_col].eqNullSafe(F.col(key)), "left_semi")
-    return found.dropDuplicates([id_col, mine]).drop(mine)
+    stay = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("mark"))
+    return keep_rows(docs, id_col, F.sha2(squeeze_space(text_or_empty(text_col)), 256), stay)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand_copies, free_name, materialize, text_or_empty
+from .common import expand_copies, keep_rows, materialize, text_or_empty
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -322,8 +322,5 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     join has brought them together, so texts are shuffled once.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    key, hash_, mine = (free_name(docs, x) for x in ("first_id", "first_hash", "own_hash"))
-    stay = near_duplicates(docs, **options).filter("is_first").select(F.col("doc_id").alias(key), F.col("text_hash").alias(hash_))
-    marked = docs.withColumn(mine, F.xxhash64(text_or_empty(text_col)))
-    found = marked.join(stay.distinct(), (F.col(mine) == F.col(hash_)) & marked[id_col].eqNullSafe(F.col(key)), "left_semi")
-    return found.dropDuplicates([id_col, mine]).drop(mine)
+    stay = near_duplicates(docs, **options).filter("is_first").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("mark"))
+    return keep_rows(docs, id_col, F.xxhash64(text_or_empty(text_col)), stay)
