@@ -14,6 +14,8 @@ import numpy as np
 
 #: Adjacent separators, and every white-space character other than the space and the line end.
 _LOOSE = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
+#: Characters that str.split() takes for white space and the vocabularies' patterns do not.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TRAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _SHARED: dict[tuple, "PieceEncoder"] = {}
@@ -44,6 +46,7 @@ class PieceEncoder:
         self._tails: dict[str, bytes] = {}
         self._sep = self._separator()
         self._merger = self._plain_merger()
+        self._spaceless = len({tuple(self._ids(x)) for x in ("a b", " a\n\n b ", "a\t \u3000b", "A\r\nb")}) == 1
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
@@ -156,24 +159,57 @@ class PieceEncoder:
             return _CUT.split(text)
         return (text.replace("\n", " \n") if "\n" in text else text).split(" ")
 
+    def _same_case(self, text: str) -> str:
+        """Lower case where the vocabulary lowers anyway and that cannot differ or make a special string."""
+        if "<|" in text:
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
+
+    def _turn(self) -> None:
+        if len(self._pieces) > self._keep:
+            self._older, self._pieces = self._pieces, {}
+
+    def _known(self, need: set[str]) -> None:
+        self._turn()
+        wanted = set(need)
+        self._recall(wanted)
+        self._learn(wanted)
+
+    def _forget_long(self, pieces: set[str]) -> None:
+        for p in pieces:
+            if len(p) > self._longest:  # used once; not worth the memory
+                self._pieces.pop(p, None)
+                self._pieces.pop(p.rstrip(_TRAIL), None)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Id bytes of each text, the same as of encoding it whole."""
+        if self._spaceless:
+            return self._encode_spaceless(texts)
         cut = [self._cut(t) if t else [] for t in texts]
-        if len(self._pieces) > self._keep:
-            self._older, self._pieces = self._pieces, {}
         need: set[str] = set()
         for c in cut:
             need.update(c[1:])
-        self._recall(need)
-        self._learn(need)
-        first = self._tokenizer.encode_batch_fast([c[0] for c in cut if c], add_special_tokens=False)
-        heads = iter(first)
+        self._known(need)
+        heads = iter(self._tokenizer.encode_batch_fast([c[0] for c in cut if c], add_special_tokens=False))
         look = self._pieces.__getitem__
         out = [self._pack(next(heads).ids) + b"".join(map(look, c[1:])) if c else b"" for c in cut]
-        for p in need:
-            if len(p) > self._longest:  # used once; not worth the memory
-                self._pieces.pop(p, None)
-                self._pieces.pop(p.rstrip(_TRAIL), None)
+        self._forget_long(need)
+        return out
+
+    def _encode_spaceless(self, texts: list[str]) -> list[bytes]:
+        """For vocabularies without white space: any run of it only parts pieces, the first like the others."""
+        whole = [any(c in t for c in _NOT_SPACE) for t in texts]  # split() parts there, the vocabulary does not
+        cut = [[] if w else self._same_case(t).split() for t, w in zip(texts, whole)]
+        need = set().union(*cut) if cut else set()
+        self._known(need)
+        look = self._pieces.__getitem__
+        out = [self._pack(self._ids(t)) if w else b"".join(map(look, c)) for t, c, w in zip(texts, cut, whole)]
+        self._forget_long(need)
         return out
 
 
