@@ -66,8 +66,8 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = shared_encoder(tokenizer, "<u2"), struct.pack("<H", end_id)
         for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                part, out = pdf.iloc[lo : lo + 2048], []
+            for lo in range(0, len(pdf), 3072):
+                part, out = pdf.iloc[lo : lo + 3072], []
                 for doc_id, raw in zip(part["doc_id"], encoder.encode(part["text"].tolist())):
                     ids = np.frombuffer(raw + end, dtype="<u2").astype("<u4")
                     for at in range(0, len(ids), capacity):

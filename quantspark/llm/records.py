@@ -31,7 +31,7 @@ MASK_ROTATE = 15
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL, KEY = "<QI", "<I", "<Bq"
 HEAD_SIZE, TAIL_SIZE, KEY_SIZE = map(struct.calcsize, (HEAD, TAIL, KEY))
-TEXTS_PER_BATCH = 2048
+TEXTS_PER_BATCH = 3072
 
 
 def masked_checksum(data: bytes) -> int:
@@ -70,21 +70,23 @@ def _writer(out_dir: str, tokenizer: str, end_id: int):
         fs.create_dir(root, recursive=True)
         name, trial = f"part-{task.partitionId():06d}", f".{task.taskAttemptId()}"
         encoder, end = shared_encoder(tokenizer, "<u2"), struct.pack("<H", end_id)
-        docs = tokens = at = 0
+        docs, tokens, at = 0, 0, np.uint64(0)
         out = index = None
         for pdf in batches:
             for lo in range(0, len(pdf), TEXTS_PER_BATCH):
                 part = pdf.iloc[lo : lo + TEXTS_PER_BATCH]
                 if out is None and len(part):
                     out, index = fs.open_output_stream(f"{root}/{name}.rec{trial}"), fs.open_output_stream(f"{root}/{name}.idx{trial}")
-                for doc_id, ids in zip(part["doc_id"], encoder.encode(part["text"].tolist())):
-                    null = pd.isna(doc_id)
-                    record = frame(struct.pack(KEY, null, 0 if null else int(doc_id)) + ids + end)
-                    out.write(record)
-                    index.write(struct.pack("<QQ", at, len(record)))
-                    at += len(record)
-                    docs += 1
+                records = []
+                for doc_id, ids in zip(part["doc_id"].tolist(), encoder.encode(part["text"].tolist())):
+                    null = doc_id is None or doc_id != doc_id
+                    records.append(frame(struct.pack(KEY, null, 0 if null else int(doc_id)) + ids + end))
                     tokens += len(ids) // 2 + 1
+                sizes = np.fromiter(map(len, records), dtype="<u8", count=len(records))
+                ends = at + np.cumsum(sizes, dtype="<u8")
+                out.write(b"".join(records))
+                index.write(np.stack([ends - sizes, sizes], axis=1).astype("<u8").tobytes())
+                docs, at = docs + len(records), ends[-1]
         if out is not None:
             out.close(), index.close()
             for kind in ("rec", "idx"):
@@ -122,9 +124,11 @@ def _reader(with_ids: bool):
                     spans = np.frombuffer(f.read(), dtype="<u8").reshape(-1, 2)
                 with fs.open_input_stream(f"{root}/{name}.rec") as f:
                     for lo in range(0, len(spans), 1024):
-                        found = []
-                        for _, size in spans[lo : lo + 1024].tolist():
-                            payload = unframe(f.read(size))
+                        found, sizes = [], spans[lo : lo + 1024, 1].tolist()
+                        block, end = f.read(sum(sizes)), 0
+                        for size in sizes:
+                            payload = unframe(block[end : end + size])
+                            end += size
                             null, doc_id = struct.unpack_from(KEY, payload)
                             ids = np.frombuffer(payload, dtype="<u2", offset=KEY_SIZE).astype("<u4")
                             row = (None if null else doc_id, start, len(ids), zlib.crc32(ids.tobytes()))

@@ -44,6 +44,7 @@ class PieceEncoder:
         self._pieces: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {}
+        self._heads: dict[str, bytes] = {}
         self._sep = self._separator()
         self._merger = self._plain_merger()
         self._spaceless = len({tuple(self._ids(x)) for x in ("a b", " a\n\n b ", "a\t \u3000b", "A\r\nb")}) == 1
@@ -104,8 +105,10 @@ class PieceEncoder:
 
     def _encode_plain(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only, each after a space, in the order given."""
+        if self._merger is not None and words and not self._ascii_only:
+            return self._merge(self._merger, words)
         if self._merger is not None and words:
-            plain = [w for w in words if w.isascii()] if self._ascii_only else words
+            plain = [w for w in words if w.isascii()]
             if plain:
                 found = dict(zip(plain, self._merge(self._merger, plain)))
                 rest = [w for w in words if w not in found]
@@ -129,27 +132,40 @@ class PieceEncoder:
             self._pieces[p] = old[p]
         pieces.difference_update(old)
 
+    def _tail(self, tail: str) -> bytes:
+        ids = self._pack(self._ids(tail))
+        if len(self._tails) < 10_000 and len(tail) < self._longest:
+            self._tails[tail] = ids
+        return ids
+
+    def _head(self, piece: str) -> bytes:
+        """Ids of the piece that starts a text, which has no space before it."""
+        ids = self._heads.get(piece)
+        if ids is None:
+            ids = self._pack(self._ids(piece))
+            if len(piece) < self._longest:
+                if len(self._heads) > 50_000:
+                    self._heads.clear()
+                self._heads[piece] = ids
+        return ids
+
     def _learn(self, pieces: set[str]) -> None:
-        known, plain, made, odd = self._pieces, set(), [], []
-        for p in pieces:
+        known, made, odd = self._pieces, [], []
+        plain = {p for p in pieces if p.isalpha()}
+        for p in pieces - plain:
             stem = p.rstrip(_TRAIL)
-            if len(stem) < len(p) and stem.isalpha():  # letters end a token where punctuation starts
-                made.append((p, stem, p[len(stem) :]))
+            if stem.isalpha():  # letters end a token where punctuation starts
+                made.append((p, stem))
                 plain.add(stem)
-            elif p.isalpha():
-                plain.add(p)
             else:
                 odd.append(p)
         self._recall(plain)
         words = list(plain)
         known.update(zip(words, self._encode_plain(words)))
-        for p, stem, tail in made:
-            ids = self._tails.get(tail)
-            if ids is None:
-                ids = self._pack(self._ids(tail))
-                if len(self._tails) < 10_000 and len(tail) < self._longest:
-                    self._tails[tail] = ids
-            known[p] = known[stem] + ids
+        tails = self._tails
+        for p, stem in made:
+            tail = p[len(stem) :]
+            known[p] = known[stem] + (tails[tail] if tail in tails else self._tail(tail))
         for p, e in zip(odd, self._tokenizer.encode_batch_fast([p if p[:1] == "\n" else " " + p for p in odd], add_special_tokens=False)):
             known[p] = self._pack(e.ids)
 
@@ -191,13 +207,11 @@ class PieceEncoder:
         if self._spaceless:
             return self._encode_spaceless(texts)
         cut = [self._cut(t) if t else [] for t in texts]
-        need: set[str] = set()
-        for c in cut:
-            need.update(c[1:])
+        heads = [c.pop(0) if c else "" for c in cut]
+        need = set().union(*cut) if cut else set()
         self._known(need)
-        heads = iter(self._tokenizer.encode_batch_fast([c[0] for c in cut if c], add_special_tokens=False))
         look = self._pieces.__getitem__
-        out = [self._pack(next(heads).ids) + b"".join(map(look, c[1:])) if c else b"" for c in cut]
+        out = [self._head(h) + b"".join(map(look, c)) for h, c in zip(heads, cut)]
         self._forget_long(need)
         return out
 
