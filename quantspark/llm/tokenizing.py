@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -132,6 +133,10 @@ class PieceEncoder:
             self._pieces[p] = old[p]
         pieces.difference_update(old)
 
+    def _stays_letters(self, stem: str) -> bool:
+        """False where the vocabulary's normalisation turns a letter into a letter and a mark."""
+        return not self._ascii_only or unicodedata.normalize("NFC", stem).lower().isalpha()
+
     def _tail(self, tail: str) -> bytes:
         ids = self._pack(self._ids(tail))
         if len(self._tails) < 10_000 and len(tail) < self._longest:
@@ -154,7 +159,7 @@ class PieceEncoder:
         plain = {p for p in pieces if p.isalpha()}
         for p in pieces - plain:
             stem = p.rstrip(_TRAIL)
-            if stem.isalpha():  # letters end a token where punctuation starts
+            if stem.isalpha() and (stem.isascii() or self._stays_letters(stem)):  # letters end a token where punctuation starts
                 made.append((p, stem))
                 plain.add(stem)
             else:

@@ -22,7 +22,7 @@ def ids(name, text):
     return TOKENIZERS[name].encode(text or "", add_special_tokens=False).ids
 
 
-ALPHABET = ["a", "B", "é", " ", " ", "\n", "'s", ".", "!", "|", "1", "\t", "ß", "́", "中", "_", "<|endoftext|>", "　", "\r", "Σ", "İ", "Å", "the ", "word.", "<|ENDOFTEXT|>", "\x1c", "\x85", "É"]
+ALPHABET = ["a", "B", "é", " ", " ", "\n", "'s", ".", "!", "|", "1", "\t", "ß", "́", "中", "_", "<|endoftext|>", "　", "\r", "Σ", "İ", "Å", "the ", "word.", "<|ENDOFTEXT|>", "\x1c", "\x85", "É", "\u0958"]
 
 
 @pytest.mark.parametrize("name", NAMES)
