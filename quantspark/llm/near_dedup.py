@@ -44,7 +44,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit codes of word shingles; words are cached up to ``keep``."""
 
-    def __init__(self, width: int = 5, keep: int = 400_000):
+    def __init__(self, width: int = 5, keep: int = 120_000):
         self.width, self._keep, self._words = width, keep, {}
 
     def _word(self, word: bytes) -> bytes:
@@ -101,8 +101,8 @@ def _sketcher(width: int, bands: int, rows: int):
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, seen = Shingler(width), set()
         for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                yield one(pdf.iloc[lo : lo + 512], shingler, seen)
+            for lo in range(0, len(pdf), 256):
+                yield one(pdf.iloc[lo : lo + 256], shingler, seen)
 
     def one(pdf: pd.DataFrame, shingler: Shingler, seen: set) -> pd.DataFrame:
         nodes, sizes, texts, fresh = [], [], [], []
@@ -111,7 +111,7 @@ def _sketcher(width: int, bands: int, rows: int):
             node = hashlib.blake2b(words, digest_size=16).digest()
             nodes.append(node)
             new = node not in seen
-            if new and len(seen) < 100_000:  # later copies in this task need no sketch of their own
+            if new and len(seen) < 50_000:  # later copies in this task need no sketch of their own
                 seen.add(node)
             fresh.append(new and bool(words))
             texts.append(text)
