@@ -1,4 +1,5 @@
 import hashlib
+import inspect
 import random
 import re
 from collections import Counter, defaultdict
@@ -162,6 +163,33 @@ def test_sketch_components_agree_as_probability_jaccard():
     assert abs((sk[0] == sk[1]).mean() - want) < 4 * np.sqrt(want * (1 - want) / size)
 
 
+def test_near_classes_of_texts_that_repeat_a_passage_differently(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for edits in [0, 3] * 40:  # set Jaccard 0.98 and 0.84
+        body, passage = [word() for _ in range(160)], [word() for _ in range(40)]
+        rows.append((len(rows), " ".join(body + passage * 200)))
+        for i in range(edits):
+            body[20 + 40 * i] = word()
+        rows.append((len(rows), " ".join(body + passage)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    assert {size for _, _, size in want} == {2}
+    assert classes(docs) == want
+
+
+def test_weights_bound_the_probability_jaccard():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = np.zeros(300), np.zeros(300)
+        a[:220], b[80:] = N.shingle_weights(rng.integers(1, 5000, 220)), N.shingle_weights(rng.choice([1, 9999], 220))
+        both = [d for d in range(300) if a[d] and b[d]]
+        assert sum(1 / np.maximum(a / a[d], b / b[d]).sum() for d in both) >= len(both) / 300 / N.HEAVIEST
+    bands = inspect.signature(N.near_duplicates).parameters
+    assert (1 - (0.8 / N.HEAVIEST) ** bands["rows"].default) ** bands["bands"].default < 2e-6
+
+
 def test_common_counts():
     sets = [np.array(s, dtype=np.uint32) for s in ([1, 2, 3], [2, 3, 9], [7], [3, 7])]
     np.testing.assert_array_equal(N.common_counts(sets)[:2, :], [[2, 2, 0, 1], [2, 2, 0, 1]])
