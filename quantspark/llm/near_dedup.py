@@ -63,12 +63,12 @@ class Shingler:
             self._words.clear()
         get = self._words.get
         w = np.frombuffer(b"".join([get(x) or self._word(x) for x in words]), dtype="<u8")
-        n = len(w) - self.width + 1
-        if n < 1:
-            return _mix(w.sum(dtype=np.uint64, keepdims=True) + np.full(1, len(w), np.uint64) * _G) if len(w) else w
-        code = np.zeros(n, dtype=np.uint64)
-        for i in range(self.width):
-            code = _mix(code + w[i : i + n] + _G)
+        if not len(w):
+            return w
+        width = min(self.width, len(w))
+        code = np.zeros(len(w) - width + 1, dtype=np.uint64)
+        for i in range(width):
+            code = _mix(code + w[i : i + len(code)] + _G)
         return code
 
 

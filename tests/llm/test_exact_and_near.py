@@ -141,6 +141,12 @@ def test_near_classes_of_the_small_documents(spark, small):
     assert classes(docs) == brute_classes(rows_of(docs))
 
 
+def test_short_texts_of_the_same_words_in_another_order_are_different(spark):
+    texts = ["not all is well", "all is not well", "Not  all is WELL", "well", "well well", "b a", "a b", "a b c", "c b a", "a b c d e", "e d c b a", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert classes(docs) == brute_classes(rows_of(docs))
+
+
 def test_near_dedup_of_nothing(nothing):
     assert N.near_duplicates(nothing).count() == 0
 
