@@ -21,17 +21,35 @@ WORD = r"[^\x20\x09-\x0D]+"
 _LOOSE_SPACE = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the session's shared folder (``spark.checkpoint.dir``).
+    """A fresh path in this application's part of the shared folder (``spark.checkpoint.dir``).
 
-    Where the setting is missing (tests on one machine) a temporary folder takes its place.
+    Where the setting is missing, a session on one machine (tests) uses a temporary folder; on a
+    cluster that is an error, since executors would not see each other's files.
     """
+    context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quantspark-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quantspark/{name}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN_DIRS:
+            _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="quantspark-")
+            atexit.register(shutil.rmtree, _OWN_DIRS[context.applicationId], ignore_errors=True)
+        base = "file://" + _OWN_DIRS[context.applicationId]
+    return f"{base.rstrip('/')}/quantspark/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; results that still read them are lost."""
+    _delete(spark, shared_dir(spark, "x").rsplit("/", 1)[0])
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +57,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote, once nothing reads it any more."""
+    _delete(table.sparkSession, table.written_to)
+
+
+def carried_id(id_col: str) -> list[Column]:
+    """An id for a way through Python: pandas would turn longs beside nulls into doubles."""
+    id_ = F.col(id_col).cast("long")
+    return [F.coalesce(id_, F.lit(0).cast("long")).alias("doc_id"), id_.isNull().alias("nameless")]
+
+
+def restored_id(df: DataFrame) -> DataFrame:
+    """Undo :func:`carried_id`."""
+    return df.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

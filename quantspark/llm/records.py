@@ -13,6 +13,7 @@ file under a temporary name and renames it, so that a repeated task leaves the s
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, text_or_empty
+from .common import carried_id, materialize, restored_id, shared_dir, text_or_empty
 from .tokenizing import shared_encoder
 
 # The rotation and constant of the masked checksum, as record formats use them.
@@ -32,6 +33,8 @@ MASK_DELTA = 0xA282EAD8
 HEAD, TAIL, KEY = "<QI", "<I", "<Bq"
 HEAD_SIZE, TAIL_SIZE, KEY_SIZE = map(struct.calcsize, (HEAD, TAIL, KEY))
 TEXTS_PER_BATCH = 3072
+#: Texts of at most about so many bytes go to one file.
+BYTES_PER_FILE = 256_000_000
 
 
 def masked_checksum(data: bytes) -> int:
@@ -78,9 +81,8 @@ def _writer(out_dir: str, tokenizer: str, end_id: int):
                 if out is None and len(part):
                     out, index = fs.open_output_stream(f"{root}/{name}.rec{trial}"), fs.open_output_stream(f"{root}/{name}.idx{trial}")
                 records = []
-                for doc_id, ids in zip(part["doc_id"].tolist(), encoder.encode(part["text"].tolist())):
-                    null = doc_id is None or doc_id != doc_id
-                    records.append(frame(struct.pack(KEY, null, 0 if null else int(doc_id)) + ids + end))
+                for null, doc_id, ids in zip(part["nameless"].tolist(), part["doc_id"].tolist(), encoder.encode(part["text"].tolist())):
+                    records.append(frame(struct.pack(KEY, null, doc_id) + ids + end))
                     tokens += len(ids) // 2 + 1
                 sizes = np.fromiter(map(len, records), dtype="<u8", count=len(records))
                 ends = at + np.cumsum(sizes, dtype="<u8")
@@ -103,13 +105,17 @@ def write_token_records(
 
     Returns the manifest, one row per file: ``part, name, docs, tokens, start, dir``; ``start`` is
     the number of ids in earlier files.  Null texts are empty (one id, the end); null ids come
-    first; rows with equal ids are ordered by text hash.  An empty table has an empty manifest.
+    first; rows with equal ids are ordered by text hash, and may lie in several files.  An empty
+    table has an empty manifest.  The folder must be one that pyarrow opens (file, hdfs, s3, gs).
     """
     spark = docs.sparkSession
     out_dir = out_dir or shared_dir(spark, "token-records")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = docs.select(*carried_id(id_col), text_or_empty(text_col).alias("text"))
+    if files is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BYTES_PER_FILE))
+    order = [F.desc("nameless"), F.asc("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
     written = materialize(ordered.mapInPandas(_writer(out_dir, tokenizer, end_id), "part long, name string, docs long, tokens long"), "token-manifest")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     return written.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("dir", F.lit(out_dir))
@@ -131,11 +137,10 @@ def _reader(with_ids: bool):
                             end += size
                             null, doc_id = struct.unpack_from(KEY, payload)
                             ids = np.frombuffer(payload, dtype="<u2", offset=KEY_SIZE).astype("<u4")
-                            row = (None if null else doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+                            row = (doc_id, bool(null), start, len(ids), zlib.crc32(ids.tobytes()))
                             found.append((*row, ids.astype(np.int32)) if with_ids else row)
                             start += len(ids)
-                        out = pd.DataFrame(found, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(found[0])])
-                        yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                        yield pd.DataFrame(found, columns=["doc_id", "nameless", "start", "n_tokens", "ids_crc32", "ids"][: len(found[0])])
 
     return read
 
@@ -146,9 +151,9 @@ def read_token_records(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     One row per document: ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids``.
     """
     spark = manifest.sparkSession
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, nameless boolean, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("dir", "name", "start").repartition(files, "name").mapInPandas(_reader(with_ids), schema)
+    return restored_id(manifest.select("dir", "name", "start").repartition(files, "name").mapInPandas(_reader(with_ids), schema))
 
 
 def read_records_at(place: str, name: str, numbers: list[int]) -> Iterator[tuple[int | None, np.ndarray]]:

@@ -11,11 +11,11 @@ from tokenizers import Tokenizer
 
 from quantspark.llm import packing as P
 from quantspark.llm import records as R
-from quantspark.llm.tokenizing import PieceEncoder, vocabulary
+from quantspark.llm.tokenizing import WordEncoder, vocabulary
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 TOKENIZERS = {n: Tokenizer.from_file(vocabulary(n)) for n in NAMES}
-ENCODERS = {n: PieceEncoder(vocabulary(n), "<u2", keep=200) for n in NAMES}
+ENCODERS = {n: WordEncoder(vocabulary(n), "<u2", keep=200) for n in NAMES}
 
 
 def ids(name, text):
