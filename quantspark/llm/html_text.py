@@ -4,6 +4,8 @@ Markup is read into a tree with the implied tags of HTML (paragraphs, list items
 rows end where the next one starts), elements that a reader does not see are left out, and the rest
 is rendered: blocks on lines of their own, blank lines between paragraphs, list markers with
 indentation, preformatted text as it stands, and table cells padded to the width of their column.
+
+Parsing and rendering keep their own stacks, so pages may nest to any depth.
 """
 
 from __future__ import annotations
@@ -11,12 +13,17 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Generator, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried_id, restored_id
+
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -44,15 +51,16 @@ IMPLIED_END = {
 ENDS_P = (BLOCK - frozenset("body html li dd dt tr caption".split())) | frozenset("li dd dt".split())
 SCOPE = frozenset("table td th caption button object html body".split())
 
-#: Deeper elements have no children of their own; their content goes to the last open one.
-MAX_OPEN = 512
+#: Lists and quotations nested deeper than this are not indented further.
+INDENTED = 100
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NOT_DISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -75,14 +83,19 @@ def parse(source: str) -> Node:
     """The tree of ``source``.  End tags without an open element are ignored; open ones end with the text."""
     root = Node("#root")
     stack = [root]
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements, by name
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close_from(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
 
     def close_until(tags, borders) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in borders:
-                break
-            if stack[i].tag in tags:
-                del stack[i:]
-                break
+        i = last(tags)
+        if i > last(borders):
+            close_from(i)
 
     def text(piece: str) -> None:
         if piece:
@@ -100,14 +113,11 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not places["p"]:
                 stack[-1].children.append(Node("p"))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            i = last((tag,))
+            if i and (tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or i >= last(("table", "td", "th"))):
+                close_from(i)
             continue
         if tag in ENDS_P:
             close_until(frozenset(["p"]), SCOPE)
@@ -126,7 +136,8 @@ def parse(source: str) -> Node:
             if inside:
                 node.children.append(inside if tag in ("script", "style") else html.unescape(inside))
             at = end.end() if end else size
-        elif tag not in VOID and len(stack) < MAX_OPEN:
+        elif tag not in VOID:
+            places[tag].append(len(stack))
             stack.append(node)
     return root
 
@@ -137,7 +148,20 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
-    return not ("style" in a and _UNSEEN_STYLE.search(a["style"]))
+    return not ("style" in a and _NOT_DISPLAYED.search(a["style"]))
+
+
+def _drop_invisible(root: Node) -> None:
+    """Remove what ``visibility`` hides: it is inherited, and an element inside may be shown again."""
+    todo = [(root, True)]
+    while todo:
+        node, shown = todo.pop()
+        said = _VISIBILITY.findall(node.attrs.get("style", ""))
+        shown = said[-1].lower() == "visible" if said else shown
+        if not shown:
+            node.attrs.pop("alt", None), node.attrs.pop("value", None)
+            node.children = [x for x in node.children if not isinstance(x, str)]
+        todo += [(x, shown) for x in node.children if not isinstance(x, str)]
 
 
 def _width(text: str) -> int:
@@ -150,9 +174,9 @@ def _width(text: str) -> int:
 class Page:
     """Collects lines; a block starts a new line, a spaced block also leaves a blank one."""
 
-    def __init__(self):
+    def __init__(self, depth: int = 0):
         self.lines: list[str] = []
-        self.line, self.gap = "", 0
+        self.line, self.gap, self.depth = "", 0, depth
 
     def inline(self, text: str) -> None:
         text = _SPACE.sub(" ", text)
@@ -179,6 +203,9 @@ class Page:
             if self.lines and self.gap:
                 self.lines.append("")
             self.gap = 0
+            if self.depth >= INDENTED:
+                self.lines += lines
+                return
             self.lines += [(lead if i == 0 else rest) + x if x else "" for i, x in enumerate(lines)]
 
     def done(self) -> list[str]:
@@ -186,9 +213,22 @@ class Page:
         return self.lines
 
 
-def _lines(node: Node) -> list[str]:
-    page = Page()
-    _render(node, page)
+def _finish(work: Generator):
+    """Run a renderer.  Renderers yield the renderers of their parts instead of calling them."""
+    stack, result = [work], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as end:
+            stack.pop()
+            result = end.value
+    return result
+
+
+def _lines(node: Node, depth: int = 0) -> Generator:
+    page = Page(depth)
+    yield _render(node, page)
     return page.done()
 
 
@@ -206,18 +246,18 @@ def _pre_text(node: Node) -> str:
     return "".join(out)
 
 
-def _list(node: Node, page: Page) -> None:
+def _list(node: Node, page: Page) -> Generator:
     try:
         number = int(node.attrs.get("start", "1"))
     except ValueError:
         number = 1
     for child in node.children:
         if isinstance(child, str) or child.tag != "li":
-            _render_one(child, page)
+            yield _render_one(child, page)
         elif visible(child):
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            page.paste(_lines(child), mark, " " * len(mark))
+            page.paste((yield _lines(child, page.depth + 1)), mark, " " * len(mark))
 
 
 def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
@@ -244,40 +284,61 @@ def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
     return captions, rows + ([loose] if loose else [])
 
 
-def _span(cell: Node) -> int:
-    text = cell.attrs.get("colspan", "1")
-    return min(1000, max(1, int(text))) if text.isascii() and text.isdigit() else 1
+def _span(cell: Node, name: str) -> int:
+    text = cell.attrs.get(name, "1")
+    return min(1000, int(text)) if text.isascii() and text.isdigit() else 1
 
 
-def _table(node: Node, page: Page) -> None:
+def _columns(rows: list[list[Node]]) -> list[list[tuple[Node, int, int]]]:
+    """(cell, first column, columns) by row; a cell that spans rows keeps its columns in those below."""
+    taken: dict[int, int] = {}  # column: the row from which it is free
+    out = []
+    for r, row in enumerate(rows):
+        at, placed = 0, []
+        for cell in row:
+            while taken.get(at, 0) > r:
+                at += 1
+            columns, high = max(1, _span(cell, "colspan")), _span(cell, "rowspan") or len(rows)  # 0: all rows below
+            placed.append((cell, at, columns))
+            if high > 1:
+                taken.update((at + k, r + high) for k in range(columns))
+            at += columns
+        out.append(placed)
+    return out
+
+
+def _table(node: Node, page: Page) -> Generator:
     """Captions and stray content first; then cells in columns, cells of several lines over as many."""
     outside, rows = _rows(node)
     page.block(True)
     for x in outside:
-        _render_one(x, page)
+        yield _render_one(x, page)
         page.flush()
-    texts = [[(_lines(c), _span(c)) for c in row] for row in rows]
-    widths: dict[int, int] = {}
-    for row in texts:
-        at = 0
-        for lines, span in row:
-            if span == 1:
+    texts, widths = [], {}
+    for row in _columns(rows):
+        cells = []
+        for cell, at, columns in row:
+            lines = yield _lines(cell, page.depth)
+            cells.append((lines, at, columns))
+            if columns == 1:
                 widths[at] = max(widths.get(at, 0), max(map(_width, lines), default=0))
-            at += span
+        texts.append(cells)
+    used = sorted(widths)
+    starts = dict(zip(used, accumulate((widths[k] + 2 for k in used), initial=0)))  # an empty column takes no room
     for row in texts:
-        for i in range(max(len(lines) for lines, _ in row)):
-            out, at = "", 0
-            for lines, span in row:
-                cell = lines[i] if i < len(lines) else ""
-                room = sum(widths.get(k, 0) for k in range(at, at + span)) + 2 * (span - 1)
-                out += cell + " " * max(0, room - _width(cell)) + "  "
-                at += span
+        for i in range(max((len(lines) for lines, _, _ in row), default=0)):
+            out = ""
+            for lines, at, _ in row:
+                if i < len(lines) and lines[i]:
+                    place = starts[used[k]] if (k := bisect_left(used, at)) < len(used) else 0
+                    out = out + " " * (place - _width(out)) if _width(out) <= place else out.rstrip(" ") + "  "
+                    out += lines[i]
             if out.strip():
                 page.paste([out.rstrip()], "", "")
     page.block(True)
 
 
-def _render_one(x, page: Page) -> None:
+def _render_one(x, page: Page) -> Generator:
     if isinstance(x, str):
         page.inline(x)
         return
@@ -298,54 +359,37 @@ def _render_one(x, page: Page) -> None:
         page.block(True)
     elif tag in ("ul", "ol", "menu", "dir"):
         page.block(True)
-        _list(x, page)
+        yield _list(x, page)
         page.block(True)
     elif tag == "table":
-        _table(x, page)
+        yield _table(x, page)
     elif tag in ("blockquote", "dd"):
         page.block(tag in SPACED)
-        page.paste(_lines(x), "  ", "  ")
+        page.paste((yield _lines(x, page.depth + 1)), "  ", "  ")
         page.block(tag in SPACED)
     elif tag == "li":
         page.block(False)
-        page.paste(_lines(x), "- ", "  ")
+        page.paste((yield _lines(x, page.depth + 1)), "- ", "  ")
     elif tag in ("td", "th"):  # a cell outside a table
-        _render(x, page)
+        yield _render(x, page)
         page.inline(" ")
     elif tag in BLOCK:
         page.block(tag in SPACED)
-        _render(x, page)
+        yield _render(x, page)
         page.block(tag in SPACED)
     else:
-        _render(x, page)
+        yield _render(x, page)
 
 
-def _render(node: Node, page: Page) -> None:
+def _render(node: Node, page: Page) -> Generator:
     for x in node.children:
-        _render_one(x, page)
-
-
-def _capped_depth(root: Node, deepest: int) -> Node:
-    """Moves what lies deeper than ``deepest`` up to that depth, in order, so that rendering cannot recurse too far."""
-    todo = [(root, 0)]
-    while todo:
-        node, depth = todo.pop()
-        if depth >= deepest:
-            flat, inner = [], list(reversed(node.children))
-            while inner:
-                x = inner.pop()
-                if isinstance(x, str) or x.tag in VOID:
-                    flat.append(x)
-                elif visible(x):
-                    flat.append(" ")
-                    inner += reversed(x.children)
-            node.children = flat
+        if isinstance(x, str):
+            page.inline(x)
         else:
-            todo += [(x, depth + 1) for x in node.children if not isinstance(x, str)]
-    return root
+            yield _render_one(x, page)
 
 
-def render(source: str | None, deepest: int = 150) -> tuple[str, str]:
+def render(source: str | None) -> tuple[str, str]:
     """(title, visible text) of a page; both empty for null or empty input."""
     if not source:
         return "", ""
@@ -356,7 +400,9 @@ def render(source: str | None, deepest: int = 150) -> tuple[str, str]:
         if x.tag == "title":
             title = _SPACE.sub(" ", "".join(c for c in x.children if isinstance(c, str))).strip()
         todo += [c for c in reversed(x.children) if not isinstance(c, str)]
-    return title, "\n".join(_lines(_capped_depth(root, deepest)))
+    if _VISIBILITY.search(source):
+        _drop_invisible(root)
+    return title, "\n".join(_finish(_lines(root)))
 
 
 def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -370,7 +416,8 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         for pdf in batches:
             found = [render(x) for x in pdf["html"]]
             texts = [t for _, t in found]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "title": [t for t, _ in found], "text": texts, "n_chars": list(map(len, texts))})
+            yield pdf[["doc_id", "nameless"]].assign(title=[t for t, _ in found], text=texts, n_chars=list(map(len, texts)))
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInPandas(extract, "page_id long, title string, text string, n_chars long")
+    rows = pages.select(*carried_id(id_col), F.col(html_col).cast("string").alias("html"))
+    found = rows.mapInPandas(extract, "doc_id long, nameless boolean, title string, text string, n_chars long")
+    return restored_id(found).withColumnRenamed("doc_id", "page_id")

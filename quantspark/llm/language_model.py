@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32_mod, materialize, text_or_empty
+from .common import carried_id, id_crc32_mod, materialize, restored_id, text_or_empty
 
 LONGEST_KNOWN = 64
 
@@ -230,7 +230,7 @@ def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(w), n) for w, n in rows), key=lambda x: (-x[1], x[0]))
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare map<binary,bigint>"
+SCORED = "doc_id long, nameless boolean, held_out boolean, n_tokens long, n_known long, base double, score double, rare map<binary,bigint>"
 
 
 def score_language(
@@ -252,7 +252,7 @@ def score_language(
     scored each.  Without training rows all tokens are unknown and both scores are the uniform one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_crc32_mod(id_col, 5) == 1).alias("held_out"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(*carried_id(id_col), (id_crc32_mod(id_col, 5) == 1).alias("held_out"), text_or_empty(text_col).alias("text"))
     training = rows.filter(~F.col("held_out")).select("text")
     counts = materialize(word_counts(training), "lm-counts")
     ends = training.count()
@@ -295,9 +295,9 @@ def score_language(
                     rare = Counter(words[i] for i in odd)
                     out.append((len(n) + 1, len(n) - len(odd) + (ends > 0), base_of[n].sum() + end_base, float(total) + rare_of[n].sum(), dict(rare)))
                 found = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "rare"])
-                yield found.assign(doc_id=part["doc_id"].astype("Int64").to_numpy(), held_out=part["held_out"].to_numpy())[["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]]
+                yield found.assign(**{c: part[c].to_numpy() for c in ("doc_id", "nameless", "held_out")})[["doc_id", "nameless", "held_out", "n_tokens", "n_known", "base", "score", "rare"]]
 
-    scored = rows.mapInPandas(score, SCORED.removeprefix("uid long, "))
+    scored = restored_id(rows.mapInPandas(score, SCORED))
     scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "lm-scored")
     unlisted = scored.select("uid", F.explode("rare").alias("word", "n")).join(counts, "word", "left")
     c = F.coalesce("count", F.lit(0))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand_copies, keep_rows, materialize, text_or_empty
+from .common import carried_id, discard, expand_copies, keep_rows, materialize, restored_id, text_or_empty
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -106,7 +106,7 @@ def prob_minhash(codes: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs:
     return sketch.reshape(docs, size)
 
 
-SKETCH = "doc_id long, text_hash long, node binary, size int, bands array<long>, shingles binary"
+SKETCH = "doc_id long, nameless boolean, text_hash long, node binary, size int, bands array<long>, shingles binary"
 
 
 def _sketcher(width: int, bands: int, rows: int):
@@ -145,7 +145,7 @@ def _sketcher(width: int, bands: int, rows: int):
                     blobs[i] = np.unique((s[0] >> np.uint64(32)).astype("<u4")).tobytes()  # 32 bits of each shingle
                     at += 1
         lengths = [0 if b is None else len(b) // 4 for b in blobs]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "node": nodes, "size": lengths, "bands": band_rows, "shingles": blobs})
+        return pdf[["doc_id", "nameless", "text_hash"]].assign(node=nodes, size=lengths, bands=band_rows, shingles=blobs)
 
     return sketch
 
@@ -169,6 +169,7 @@ def connect(links: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
         small = materialize(small, name)
         now = small.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        discard(large), discard(edges)  # ``small`` is written and reads neither
         edges = small
         if now == before:
             break
@@ -311,9 +312,8 @@ def near_duplicates(
     ``class_id`` is the least id of the class (null only where all its ids are null), and
     ``is_first`` marks one row of each class, whatever rows repeat.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    source = source.withColumn("text_hash", F.xxhash64("text"))
-    sketched = materialize(source.mapInPandas(_sketcher(shingle_words, bands, rows), SKETCH), "near-sketch")
+    source = docs.select(*carried_id(id_col), text_or_empty(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sketched = restored_id(materialize(source.mapInPandas(_sketcher(shingle_words, bands, rows), SKETCH), "near-sketch"))
     fresh = sketched.filter(F.col("bands").isNotNull())
     members = fresh.select("node", "size", F.explode("bands").alias("bucket"))
     roots = link_buckets(members, fresh.select("node", "shingles"), similarity)

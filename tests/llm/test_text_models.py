@@ -1,10 +1,13 @@
 import hashlib
 import math
+import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from quantspark.llm import fingerprints as X
 from quantspark.llm import language_model as L
@@ -81,7 +84,8 @@ def test_model_probabilities_sum_to_one_and_learn_order(spark):
 
 
 def test_edited_texts_in_id_order(awkward):
-    rows = sorted(((r.doc_id if r.doc_id is not None else -(2**63), r.text or "") for r in awkward.select("doc_id", "text").collect()), key=lambda x: (x[0], x[1].encode()))
+    order = lambda t: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), 42)))[0]
+    rows = sorted(((r.doc_id if r.doc_id is not None else -(2**63), r.text or "") for r in awkward.select("doc_id", "text").collect()), key=lambda x: (x[0], order(x[1])))
     want = []
     for k, (i, t) in enumerate(rows):
         following, cut = rows[(k + 1) % len(rows)][1], len(t) // 4
@@ -108,7 +112,96 @@ def test_fingerprints_tell_copies_from_others(spark, small):
     assert X.pruned_jaccard(a, a) == 1.0 and X.pruned_jaccard(a, b, 0.99) == 0.0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_every_row_has_a_next_one(spark, seed):
+    rng = random.Random(seed)
+    ids = [rng.choice([None, 5, 2**53 + rng.randint(0, 9), rng.randint(-(2**63), 2**63 - 1), 2**63 - 1, -(2**63)]) for _ in range(rng.choice([1, 2, 7, 120]))]
+    rows = [(i, " ".join(rng.choice("the river of stones and a bridge".split()) for _ in range(rng.randint(0, 9)))) for i in ids]
+    got = X.fingerprints_under_edit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in rows)
+
+
+def plain_signatures(text, chain=2, gap=8):
+    """Signatures as tuples of words, by loops."""
+    edge = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+    words = [w for w in (x.lower().strip(edge) for x in text.split()) if w]
+    content = [w for w in words if w not in X.ANCHORS]
+    found, seen, run = set(), 0, []
+
+    def long_run():
+        if len(run) > gap:
+            for j in run:
+                if j + chain < len(content):
+                    found.add((content[j], *content[j + 1 : j + 1 + chain]))
+        run.clear()
+
+    for w in words:
+        if w in X.ANCHORS:
+            long_run()
+            if seen + chain <= len(content):
+                found.add((w, *content[seen : seen + chain]))
+        else:
+            run.append(seen)
+            seen += 1
+    long_run()
+    return found or {tuple(words)}
+
+
+def plain_jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_signatures_and_likenesses_against_plain_loops(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(120)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    order = sorted(texts)
+    got = {r.doc_id: r for r in X.fingerprints_under_edit(docs).collect()}
+    for k, i in enumerate(order):
+        text, following = texts[i], texts[order[(k + 1) % len(order)]]
+        cut = len(text) // 4
+        mine, edited, theirs = map(plain_signatures, (text, text[: len(text) - cut] + following[:cut], following))
+        assert len(X.decode_fingerprint(got[i].fingerprint)) == len(mine)
+        for have, want in ((got[i].near_edited, plain_jaccard(mine, edited)), (got[i].near_next, plain_jaccard(mine, theirs))):
+            assert have == pytest.approx(want if want >= 0.1 else have if have < 0.1 else want)
+    edited = [r.near_edited for r in got.values() if r.n_chars > 200]
+    assert min(edited) > 0.1 and np.median(edited) > 0.5
+
+
+def test_similar_fingerprints_are_all_linked(spark, awkward, nothing):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)] + ["the", "of", "and"] * 8
+    base = [[rng.choice(words) for _ in range(rng.randint(20, 90))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        text = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 5, 20])):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((2**53 + i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = X.fingerprint_documents(docs).cache()
+    sets = {r.doc_id: set(X.decode_fingerprint(r.fingerprint).tolist()) for r in prints.collect()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and plain_jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: r.class_id for r in X.similar_fingerprints(prints, 0.8).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) < 100
+    assert X.similar_fingerprints(X.fingerprint_documents(awkward)).count() == awkward.count()
+    assert X.similar_fingerprints(X.fingerprint_documents(nothing)).count() == 0
+
+
 PAGES = [
+    ("<table><tr><td rowspan=2>AA<td>b1<td>c1<tr><td>b2<td>c2</table>", "AA  b1  c1\n    b2  c2"),
+    ("<div>" * 300 + "<ul><li>one<li>two</ul><table><tr><td>x<td>y</table><pre>z\n  w</pre>", "- one\n- two\n\nx  y\n\nz\n  w"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no<p style='display:none'>no</div>", "yes"),
     ("<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>", "- a\n- b\n\n  3. x\n  4. y\n- c"),
     ("<p>one<p>two <span hidden>no</span><b style='display: none'>no</b>three", "one\n\ntwo three"),
     ("<table><tr><td>a<td>bbb<tr><th>cc<td>d<br>e</table>tail", "a   bbb\ncc  d\n    e\n\ntail"),
