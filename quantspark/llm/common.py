@@ -119,6 +119,21 @@ def top_bits(key: Column, bits: int) -> Column:
     return F.lit(0).cast("long") if bits == 0 else F.shiftrightunsigned(key, 64 - bits)
 
 
+def long_array(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def range_number(value: Column, starts: list[int]) -> Column:
+    """Number of the range that holds ``value``, of ranges with the given ascending starts (the first one open below).
+
+    Two levels of starts, so that a row is compared with few of them.
+    """
+    leap = max(1, int(len(starts) ** 0.5))
+    below = lambda some: F.size(F.filter(some, lambda s: s <= value))
+    block = F.greatest(F.lit(0), below(long_array(starts[::leap])) - 1)
+    return F.greatest(F.lit(0), block * leap + below(F.slice(long_array(starts), block * leap + 1, F.lit(leap))) - 1).cast("int")
+
+
 def with_exclusive_prefix(df: DataFrame, group: list[str], cell: str, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one, within ``group``.
 

@@ -4,10 +4,11 @@
    shared folder.
 2. Directory: keys are counted by their leading bits.  A bucket over its capacity doubles the
    directory below it, until each bucket fits or the bits run out (what is left chains).
-3. Chains: the rows of one key are compared byte by byte by grouping on (key, whole text).  Spark
-   combines on the map side, so a text with millions of copies sends one row per task.
-4. The classes are written as an index in which owner tasks hold ranges of buckets, and entries
-   probe it by (key, sha256).
+3. Owners: whole buckets are given to owner tasks, in order; a row goes to its owner by its key's
+   slot.  Rows of very frequent keys (at most ``HOT_KEYS``) are first added up where they are read.
+4. Chains: an owner task holds the texts of its buckets by key, compares texts of one key byte by
+   byte, and writes a class per text to the index.
+5. Entries probe the index by (owner, key, sha256).
 
 All of it is DataFrame code; no Python runs in tasks.
 """
@@ -19,7 +20,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand_copies, keep_rows, materialize, squeeze_space, text_or_empty, top_bits
+from .common import expand_copies, keep_rows, long_array, materialize, range_number, squeeze_space, text_or_empty, top_bits
+
+#: So many keys at most count as very frequent: those with more than this share of all rows.
+HOT_KEYS = 1000
 
 
 def default_key(text: Column) -> Column:
@@ -51,6 +55,19 @@ def build_directory(keys: DataFrame, capacity: int, max_bits: int) -> DataFrame:
     )
 
 
+def _owner_starts(entries: DataFrame, capacity: int, max_bits: int, owners_per_task: int = 4) -> list[int]:
+    """Slots at which the owners' ranges start: first slots of buckets, about equal in keys.
+
+    The driver sees one number per owner.
+    """
+    keys = entries.select("key").distinct()
+    directory = build_directory(keys, capacity, max_bits).select("slot", "bucket")
+    owners = owners_per_task * int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = keys.agg(F.percentile_approx(top_bits(F.col("key"), max_bits), [i / owners for i in range(1, owners)], 20 * owners).alias("slots"))
+    found = cuts.select(F.explode(F.array_distinct("slots")).alias("slot")).join(directory, "slot").select("bucket").distinct().collect()
+    return sorted({0, *(r["bucket"] for r in found)})
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 8192, key=default_key) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -65,19 +82,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = entries.count()
     max_bits = max(1, math.ceil(math.log2(max(1, rows) / bucket_capacity)) + 3) if rows > bucket_capacity else 1
-    directory = build_directory(entries.select("key").distinct(), bucket_capacity, max_bits)
-
-    classes = (
-        source.groupBy("key", "norm")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "keep_id", "group_size", top_bits(F.col("key"), max_bits).alias("slot"))
-    )
-    index = classes.join(directory, "slot").select("bucket", "local_depth", "key", "sha", "keep_id", "group_size")
-    parts = max(1, math.ceil(rows / (4 * bucket_capacity)))
-    index = materialize(index.repartitionByRange(parts, "bucket", "key").sortWithinPartitions("bucket", "key"), "dedup-index")
-
-    copies = entries.groupBy("doc_id", "key", "sha").agg(F.count(F.lit(1)).alias("copies"))
-    found = copies.join(index.select("key", "sha", "keep_id", "group_size"), ["key", "sha"])
+    slot = top_bits(F.col("key"), max_bits)
+    starts = _owner_starts(entries, bucket_capacity, max_bits)
+    hot = [r["key"] for r in entries.groupBy("key").count().filter(F.col("count") > max(bucket_capacity, rows // HOT_KEYS)).collect()]
+
+    single = source.select("key", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    if hot:
+        often = F.array_contains(long_array(hot), F.col("key"))
+        summed = single.filter(often).groupBy("key", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        single = single.filter(~often).unionByName(summed)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owned = single.withColumn("owner", range_number(slot, starts)).repartition(tasks, "owner")
+    classes = owned.groupBy("owner", "key", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    index = materialize(classes.select("owner", "key", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha"), "keep_id", "group_size"), "dedup-index")
+
+    copies = entries.groupBy("doc_id", "key", "sha").agg(F.count(F.lit(1)).alias("copies")).withColumn("owner", range_number(slot, starts))
+    found = copies.join(index, ["owner", "key", "sha"])
     return expand_copies(found, "copies", "copy").select(
         "doc_id",
         "keep_id",

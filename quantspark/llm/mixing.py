@@ -60,20 +60,23 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    mark: Column | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id, source, size, source_size, target, epochs, part, taken``.
 
     ``epochs`` whole passes plus the first ``part`` words in the pass that the budget cuts;
     ``taken = epochs * size + part``.  The words taken from a source equal its target rounded to a
     word.  Null texts have size 0, null sources are one source, ties in the random key go by id
-    and size.  Reruns give the same rows.
+    and size.  Reruns give the same rows.  ``mark`` is one more column of the input to return.
     """
+    marked = [] if mark is None else ["mark"]
     narrow = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(text_or_empty(text_col)).alias("size"),
             _random_key(id_col, seed).alias("key"),
+            *([] if mark is None else [mark.alias("mark")]),
         ),
         "mix-sizes",
     )
@@ -91,7 +94,7 @@ def mix_sources(
     return (
         summed.join(budgets.withColumn("name", named).drop("source"), "name")
         .withColumn("part", part)
-        .select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *marked)
     )
 
 
@@ -100,10 +103,19 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
 
     The document in which a budget ends is taken whole in that pass, so no text is cut.  Documents
     the mix takes no words of are left out; rows come back once per pass that takes words of them.
+    Rows are found again by id and a hash of all their columns; rows that agree in both are alike,
+    so their passes are added up.  Null ids and sources are values like any other.
     """
     id_col = options.get("id_col", "doc_id")
-    key, times, turn = (free_name(docs, x) for x in ("mix_id", "mix_passes", "mix_pass"))
+    names = [free_name(docs, x) for x in ("mix_mark", "mix_id", "mix_nameless")]
+    times, turn = (free_name(docs, x) for x in ("mix_passes", "mix_pass"))
+    mark = F.xxhash64(*[docs[c] for c in docs.columns])
+
+    def keyed(df: DataFrame, mark_: Column, id_: Column) -> DataFrame:
+        return df.withColumns(dict(zip(names, (mark_, F.coalesce(id_.cast("string"), F.lit("")), id_.isNull()))))
+
     passes = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
-    plan = mix_sources(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(passes).alias(times))
-    found = docs.join(plan, docs[id_col].eqNullSafe(F.col(key)))
-    return found.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[docs[c] for c in docs.columns])
+    plan = mix_sources(docs, mark=mark, **options).filter("taken > 0").withColumn(times, passes)
+    plan = keyed(plan, F.col("mark"), F.col("doc_id")).groupBy(*names).agg(F.sum(times).alias(times))
+    found = keyed(docs, mark, docs[id_col]).dropDuplicates(names).join(plan, names)
+    return found.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)

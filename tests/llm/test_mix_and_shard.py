@@ -60,6 +60,15 @@ def test_take_mix_repeats_whole_documents(awkward, nothing):
     assert M.take_mix(nothing).count() == 0 and M.mix_sources(nothing).count() == 0
 
 
+def test_take_mix_of_repeated_ids_takes_what_the_plan_says(spark):
+    rows = [(i % 400 if i % 7 else None, f"w{i % 5} " * (1 + i % 13), f"s{i % 3}") for i in range(600)] + [(1, "same row", "s0")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = M.mix_sources(docs).selectExpr("sum(epochs + if(part > 0, 1, 0)) as n").first().n
+    assert M.take_mix(docs).count() == plan
+    times = M.take_mix(docs).groupBy("doc_id", "text", "source").count().collect()
+    assert sum(r["count"] for r in times) == plan and max(r["count"] for r in times if r.text == "same row") >= 40
+
+
 def test_mix_of_texts_without_words(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.size, r.taken, r.target) for r in M.mix_sources(df).collect()] == [(0, 0, 0.0)] * 2
