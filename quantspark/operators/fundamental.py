@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.safe import div, flag, growth, nonzero, number, or_else, safe_div
+from ..functions.windows import asof_join
 
 #: Positions of a metric that some formula reads: newest, the one before, two before, and a year ago.
 POSITIONS = range(5)
@@ -36,16 +37,24 @@ FEATURES = (
 ).split()
 
 
+def as_of_spine(rows: DataFrame, dates: DataFrame, *keys: str) -> DataFrame:
+    """(keys, as_of): each key of ``rows`` at each of ``dates``, in proportion to the result."""
+    every = dates.agg(F.collect_set("as_of")).scalar()
+    return rows.select(*keys).distinct().withColumn("as_of", F.explode(every))
+
+
 def statement_matrix(statements: DataFrame, dates: DataFrame, metrics: Iterable[str]) -> DataFrame:
     """One row per stock and ``as_of`` of ``dates``: columns ``metric_0`` (newest) to ``metric_4``.
 
-    ``dates`` is a short list of as-of dates and is broadcast.
+    Each statement row takes the four before it of its metric and is read at each date by an as-of
+    join.  Stocks without a statement by that date have no row.
     """
-    known = statements.join(F.broadcast(dates), F.col("period_end") <= F.col("as_of"))
-    newest = W.partitionBy("stock_id", "as_of", "metric").orderBy(F.desc("period_end"))
-    placed = known.withColumn("pos", F.row_number().over(newest) - 1).filter(F.col("pos") < len(POSITIONS))
-    cells = [F.max(F.when((F.col("metric") == m) & (F.col("pos") == k), F.col("value"))).alias(f"{m}_{k}") for m in metrics for k in POSITIONS]
-    return placed.groupBy("stock_id", "as_of").agg(*cells)
+    earlier = W.partitionBy("stock_id", "metric").orderBy("period_end")
+    cells = F.struct(*[(F.lag("value", k).over(earlier) if k else F.col("value")).alias(f"_{k}") for k in POSITIONS])
+    rows = statements.select("stock_id", "metric", F.col("period_end").alias("as_of"), cells.alias("cells"))
+    found = asof_join(as_of_spine(statements, dates, "stock_id", "metric"), rows, ["stock_id", "metric"], date="as_of").filter("cells is not null")
+    laid = [F.max(F.when(F.col("metric") == m, F.col(f"cells._{k}"))).alias(f"{m}_{k}") for m in metrics for k in POSITIONS]
+    return found.groupBy("stock_id", "as_of").agg(*laid)
 
 
 def _c(name: str, k: int = 0) -> Column:
@@ -184,11 +193,8 @@ def extended() -> dict[str, Column]:
 
 def last_price(bars: DataFrame, dates: DataFrame) -> DataFrame:
     """stock_id, as_of, last_close: the last close not later than each as-of date."""
-    return (
-        bars.join(F.broadcast(dates), F.col("date") <= F.col("as_of"))
-        .groupBy("stock_id", "as_of")
-        .agg(F.max_by("close", "date").alias("last_close"))
-    )
+    closes = bars.select("stock_id", F.col("date").alias("as_of"), F.col("close").alias("last_close"))
+    return asof_join(as_of_spine(bars, dates, "stock_id"), closes, ["stock_id"], date="as_of").filter(F.col("last_close").isNotNull())
 
 
 def at_market_price() -> dict[str, Column]:
@@ -217,7 +223,7 @@ def against_sector(df: DataFrame) -> DataFrame:
     stats = [F.when(F.count(c) >= MIN_PEERS, F.percentile(c, 0.5)).alias(f"__m_{c}") for c in medians]
     stats.append(F.when(F.count(positive) >= MIN_PEERS, F.avg(positive)).alias("__mean_pe"))
     sector = df.groupBy("sector", "as_of").agg(*stats)
-    out = df.join(F.broadcast(sector), ["sector", "as_of"])  # sectors times as-of dates
+    out = df.join(sector, ["sector", "as_of"], "left")  # stocks without a sector stay
     return out.withColumns({name: safe_div(c, f"__m_{c}") for c, name in medians.items()} | {"pe_vs_sector_avg": safe_div("pe_ratio", "__mean_pe")})
 
 

@@ -1,8 +1,8 @@
 """The 22 sentiment features: conditional aggregates of dated events in look-back windows.
 
 Windows end at the as-of date (no later event is seen) and empty ones give 0.  ``spine`` is
-(stock_id, as_of); each event is copied to the as-of dates it falls in, so the cost is events
-times overlapping windows, by an equality join on the stock.
+(stock_id, as_of).  Days are cut into bins as long as the window; an event goes to its bin and the
+next one and is joined by stock and bin, so it meets as-of dates at most two windows away.
 """
 
 from __future__ import annotations
@@ -22,9 +22,13 @@ NEGATIVE_8K = (
 
 def in_window(spine: DataFrame, events: DataFrame, days: int, undated: bool = False) -> DataFrame:
     """Events with the as-of dates they are at most ``days`` days before, as ``age`` in days."""
-    age = F.datediff("as_of", "day")
-    near = (age >= 0) & (age <= days)
-    return spine.join(events, "stock_id").withColumn("age", age).filter(near | F.col("day").isNull() if undated else near)
+    bin_of = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / (days + 1))
+    dated = events.filter(F.col("day").isNotNull()).withColumn("__bin", F.explode(F.array(bin_of("day"), bin_of("day") + 1)))
+    met = spine.withColumn("__bin", bin_of("as_of")).join(dated, ["stock_id", "__bin"]).drop("__bin")
+    found = met.withColumn("age", F.datediff("as_of", "day")).filter((F.col("age") >= 0) & (F.col("age") <= days))
+    if undated:
+        found = found.unionByName(spine.join(events.filter(F.col("day").isNull()), "stock_id").withColumn("age", F.lit(None).cast("int")))
+    return found
 
 
 def _sum_if(condition: Column, value=1) -> Column:

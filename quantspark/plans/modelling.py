@@ -188,9 +188,9 @@ _SHAPES = {"xgb": (7, 3), "lstm": (5, 11)}
 
 
 def _probabilities(spark, sf_dir) -> DataFrame:
-    """Two models' class probabilities for every 21st bar, from its volume and row number."""
+    """Two models' class probabilities for every bar with a return, from its volume and row number."""
     rows = M.bars(spark, sf_dir).withColumn("rn", F.row_number().over(by("stock_id")) - 1).withColumn("actual_return", F.lead("close", 5).over(by("stock_id")) / F.col("close") - 1)
-    rows = rows.filter("rn % 21 = 0 and actual_return is not null").join(F.broadcast(M.stocks(spark, sf_dir)), "stock_id")
+    rows = rows.filter("actual_return is not null").join(F.broadcast(M.stocks(spark, sf_dir)), "stock_id")
     cols, v = {}, F.col("volume").cast("long")
     for model, (a, b) in _SHAPES.items():
         raw = [F.pmod(v * a + F.col("rn") * b + k * k * a, F.lit(10 + k)) + 1 for k in range(4)]
@@ -207,7 +207,7 @@ def _raw_sql(model: str) -> str:
 
 _MID = " + ".join(f"({m}::DOUBLE) * p{k}" for k, m in enumerate(G.MIDPOINTS))
 SIGNALS = f"""WITH {BARS}, {STOCKS}, r0 AS (SELECT *, row_number() OVER w - 1 AS rn, lead(close, 5) OVER w / close - 1 AS ar FROM bars WINDOW w AS (PARTITION BY stock_id ORDER BY date)),
-r AS (SELECT ticker, date, greatest(-0.3::DOUBLE, least(0.3::DOUBLE, ar)) AS actual_return, {_raw_sql('xgb')}, {_raw_sql('lstm')} FROM r0 JOIN stocks USING (stock_id) WHERE rn % 21 = 0 AND ar IS NOT NULL),
+r AS (SELECT ticker, date, greatest(-0.3::DOUBLE, least(0.3::DOUBLE, ar)) AS actual_return, {_raw_sql('xgb')}, {_raw_sql('lstm')} FROM r0 JOIN stocks USING (stock_id) WHERE ar IS NOT NULL),
 m AS (SELECT *, {', '.join(f'0.6::DOUBLE * xgb_prob_{k} + 0.4::DOUBLE * lstm_prob_{k} AS q{k}' for k in range(4))} FROM r),
 p AS (SELECT *, {', '.join(f'q{k} / (q0 + q1 + q2 + q3) AS p{k}' for k in range(4))} FROM m),
 s AS (SELECT *, {_MID} AS er, greatest(p0, p1, p2, p3) AS top, (list_position([p0, p1, p2, p3], greatest(p0, p1, p2, p3)) - 1)::INT AS cls, p2 + p3 > 0.60::DOUBLE AS sb, p0 > 0.40::DOUBLE AS ss FROM p),
@@ -229,9 +229,10 @@ def ensemble_blend(spark, sf_dir):
     return G.blend(_probabilities(spark, sf_dir)).select("ticker", "date", *[F.round(f"prob_class_{k}", 6).alias(f"prob_class_{k}") for k in range(4)])
 
 
-@register("signal_columns", f"{SIGNALS} SELECT ticker, date, {r6('er')} AS expected_return, cls AS predicted_class, {r6('top')} AS conviction, sb AS strong_buy, ss AS strong_sell FROM s")
+# expected returns often end in a five at the seventh decimal, so they are given to ten
+@register("signal_columns", f"{SIGNALS} SELECT ticker, date, round(er, 10) AS expected_return, cls AS predicted_class, {r6('top')} AS conviction, sb AS strong_buy, ss AS strong_sell FROM s")
 def signal_columns(spark, sf_dir):
-    return _signals(spark, sf_dir).select("ticker", "date", F.round("expected_return", 6).alias("expected_return"), "predicted_class", F.round("conviction", 6).alias("conviction"), "strong_buy", "strong_sell")
+    return _signals(spark, sf_dir).select("ticker", "date", F.round("expected_return", 10).alias("expected_return"), "predicted_class", F.round("conviction", 6).alias("conviction"), "strong_buy", "strong_sell")
 
 
 @register(
