@@ -68,7 +68,7 @@ def _owner_starts(entries: DataFrame, capacity: int, max_bits: int, owners_per_t
     return sorted({0, *(r["bucket"] for r in found)})
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 8192, key=default_key) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_capacity: int = 1024, key=default_key) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they agree after each run of separators becomes one space.  Null texts
