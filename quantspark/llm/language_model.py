@@ -3,15 +3,17 @@
 Corpus counts (one scan): every training document adds its words and one end token; the full table
 of word counts stays in Spark.
 
-Model: the ``classes - 1`` most frequent words and the end token are output classes, all other
-words share one more.  A class is predicted from the two tokens before it: their vectors, each
+Model: every word has a class, as output and as context.  The end token and the most frequent words
+have one each; all other words of the corpus, seen or not, are classed by their last two bytes (the
+endings with most tokens, and one class for what is left).  A class is predicted from the two tokens before it: their vectors, each
 weighted per position and dimension, are added and multiplied with the vector of each class, plus a
 bias.  It is trained in numpy over all training documents with noise-contrastive estimation: tasks
 start from the same parameters, train on their rows, and the results are averaged by tokens.
 
 Scores are normalised: batched matrix products give the normaliser of every pair of context
-classes, so a token's log-probability is its score less a looked-up normaliser.  A rare word adds
-its smoothed share among the rare words.  Rare words are counted per document in the scan, matched
+classes, so a token's log-probability is its score less a looked-up normaliser.  A word that shares
+its class adds its smoothed share of the class's tokens, unknown words having one share, so the
+probabilities of a class sum to one.  Words that are not broadcast are counted per document in the scan, matched
 with the count table by a join, and added up; only the most frequent words are broadcast, at most
 ``known_words`` of at most 64 bytes each.
 """
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import carried_id, id_crc32_mod, materialize, restored_id, text_or_empty
 
 LONGEST_KNOWN = 64
+ENDING = 2  # bytes
 
 
 def _words(text: str) -> list[bytes]:
@@ -138,21 +141,48 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Class and count of the most frequent words; class 0 is the end, class 1 all other words."""
+    """Classes of words: 0 is the end, 1 words of rare endings, then the most frequent words, then endings.
 
-    def __init__(self, words: list[tuple[bytes, int]], classes: int):
+    ``words`` are the listed words by falling count; ``endings`` has (tokens, distinct words) of
+    every ending in the corpus.  ``tokens`` and ``share`` are by class: all tokens, and log10 of the
+    denominator of a word's share in it (0 where a class is one word).
+    """
+
+    def __init__(self, words: list[tuple[bytes, int]], endings: dict[bytes, tuple[int, int]], classes: int):
         self.number = {w: i for i, (w, _) in enumerate(words)}
         self.get = self.number.get
         self.counts = np.array([n for _, n in words], dtype=np.float64)
-        self.classes = classes
-        self.class_of = np.where(np.arange(len(words) + 1) < classes - 2, np.arange(len(words) + 1) + 2, 1).astype(np.int32)
-        self.class_of[-1] = 1  # the last entry stands for words not listed
+        own = min(len(words), classes - 2 - (classes - 2) // 2)
+        rest = dict(endings)
+        for w, n in words[:own]:
+            tokens, kinds = rest[w[-ENDING:]]
+            rest[w[-ENDING:]] = (tokens - n, kinds - 1)
+        ranked = sorted((e for e, (tokens, _) in rest.items() if tokens), key=lambda e: (-rest[e][0], e))
+        self.ending = {e: 2 + own + k for k, e in enumerate(ranked[: classes - 2 - own])}
+        self.tokens, kinds = np.zeros(classes), np.zeros(classes)
+        self.tokens[2 : 2 + own] = self.counts[:own]
+        for e, (n, k) in rest.items():
+            at = self.ending.get(e, 1)
+            self.tokens[at] += n
+            kinds[at] += k
+        self.share = np.log10(self.tokens + 0.5 * (kinds + 1))
+        self.share[0] = 0.0
+        self.share[2 : 2 + own] = 0.0
+        self.alone = own
+        self.class_of = np.array([2 + i if i < own else self.ending.get(w[-ENDING:], 1) for i, (w, _) in enumerate(words)] + [1], np.int32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Number of each word, or the number of listed words for others."""
         none = len(self.number)
         return np.fromiter((self.get(w, none) for w in words), np.int32, len(words))
 
+    def classed(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
+        """Class of each word of a text, and the end."""
+        out = np.append(self.class_of[numbers], 0).astype(np.int32)
+        for i in np.flatnonzero(numbers == len(self.number)):
+            out[i] = self.ending.get(words[i][-ENDING:], 1)
+        return out
+
 
 def _contexts(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes two and one places before each token of a text; the end token stands before the first."""
@@ -188,7 +218,8 @@ def train_model(training: DataFrame, vocabulary, prior: np.ndarray, dims: int, s
 
         for pdf in batches:
             for text in pdf["text"]:
-                seq = np.append(v.class_of[v.numbers(_words(text))], 0).astype(np.int32)
+                words = _words(text)
+                seq = v.classed(words, v.numbers(words))
                 held.append((*_contexts(seq), seq))
                 waiting += len(seq)
                 tokens += len(seq)
@@ -239,8 +270,8 @@ def score_language(
     classes: int = 768,
     dims: int = 16,
     samples: int = 24,
-    rate: float = 0.1,
-    batch: int = 4096,
+    rate: float = 0.2,
+    batch: int = 1024,
     merge: int = 16,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -259,41 +290,40 @@ def score_language(
     in_words, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = in_words + ends, distinct + (ends > 0)
 
-    v = Vocabulary(_most_frequent(counts, known_words), classes)
+    by_ending = counts.groupBy(F.substring("word", -ENDING, ENDING).alias("ending")).agg(F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("kinds"))
+    endings = {bytes(r["ending"]): (r["tokens"], r["kinds"]) for r in by_ending.collect()}  # at most 256 + 65 536
+    v = Vocabulary(_most_frequent(counts, known_words), endings, classes)
     vocabulary = spark.sparkContext.broadcast(v)
-    prior = np.full(classes, 0.5)
+    prior = v.tokens + 0.5
     prior[0] += ends
-    frequent = v.counts[: classes - 2]
-    prior[2 : 2 + len(frequent)] += frequent
-    rare_tokens, rare_kinds = in_words - frequent.sum(), distinct - len(frequent)
-    prior[1] += rare_tokens
     prior /= prior.sum()
     model = train_model(training, vocabulary, prior, dims, samples, rate, batch, merge)
     sent = spark.sparkContext.broadcast((model, model.normalisers()))
 
-    base_total, rare_total = math.log10(tokens + 0.5 * (kinds + 1)), math.log10(rare_tokens + 0.5 * (rare_kinds + 1))
+    base_total = math.log10(tokens + 0.5 * (kinds + 1))
     end_base = math.log10(ends + 0.5) - base_total
     ln10 = math.log(10.0)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, (m, norm) = vocabulary.value, sent.value
         base_of = np.append(np.log10(v.counts + 0.5) - base_total, 0.0)
-        rare_of = np.append(np.where(v.class_of[:-1] == 1, np.log10(v.counts + 0.5) - rare_total, 0.0), 0.0)
+        log_counts = np.append(np.log10(v.counts + 0.5), 0.0)  # those of other words are joined
+        log_counts[: v.alone] = 0.0
         none = len(v.counts)
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part, out = pdf.iloc[lo : lo + 256], []
                 split = [_words(t) for t in part["text"]]
                 numbers = [v.numbers(w) for w in split]
-                seqs = [np.append(v.class_of[n], 0) for n in numbers]
+                seqs = [v.classed(w, n) for w, n in zip(split, numbers)]
                 pairs = [_contexts(s) for s in seqs]
                 far, near, word = (np.concatenate(x) for x in ([p[0] for p in pairs], [p[1] for p in pairs], seqs))
-                logs = (np.einsum("ij,ij->i", m.predicted(far, near), m.target[word]) + m.bias[word] - norm[far, near]) / ln10
+                logs = (np.einsum("ij,ij->i", m.predicted(far, near), m.target[word]) + m.bias[word] - norm[far, near]) / ln10 - v.share[word]
                 sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum([len(s) for s in seqs])[:-1]]), dtype=np.float64)
                 for words, n, total in zip(split, numbers, sums):
                     odd = np.flatnonzero(n == none)
                     rare = Counter(words[i] for i in odd)
-                    out.append((len(n) + 1, len(n) - len(odd) + (ends > 0), base_of[n].sum() + end_base, float(total) + rare_of[n].sum(), dict(rare)))
+                    out.append((len(n) + 1, len(n) - len(odd) + (ends > 0), base_of[n].sum() + end_base, float(total) + log_counts[n].sum(), dict(rare)))
                 found = pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "rare"])
                 yield found.assign(**{c: part[c].to_numpy() for c in ("doc_id", "nameless", "held_out")})[["doc_id", "nameless", "held_out", "n_tokens", "n_known", "base", "score", "rare"]]
 
@@ -304,7 +334,7 @@ def score_language(
     added = unlisted.groupBy("uid").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * (F.log10(c + 0.5) - F.lit(base_total))).alias("more_base"),
-        F.sum(F.col("n") * (F.log10(c + 0.5) - F.lit(rare_total))).alias("more_score"),
+        F.sum(F.col("n") * F.log10(c + 0.5)).alias("more_score"),
     )
     return scored.join(added, "uid", "left").select(
         "doc_id",

@@ -83,6 +83,30 @@ def test_model_probabilities_sum_to_one_and_learn_order(spark):
         assert np.exp(s - norm[far, near]).sum() == pytest.approx(1, rel=1e-4)
 
 
+@pytest.mark.parametrize("classes", [4, 9, 40])
+def test_words_of_a_class_and_one_unknown_share_it(classes):
+    counts = {"ab": 9, "b": 7, "xab": 4, "yab": 3, "zz": 2, "é": 2, "q": 1}
+    words = [(w.encode(), n) for w, n in counts.items()]
+    endings = {}
+    for w, n in words:
+        tokens, kinds = endings.get(w[-2:], (0, 0))
+        endings[w[-2:]] = (tokens + n, kinds + 1)
+    v = L.Vocabulary(words[:4], endings, classes)  # the last three words are not listed
+    texts = [w for w, _ in words] + [b"unseen"]
+    classed = v.classed(texts, v.numbers(texts))
+    assert classed[-1] == 0 and classed.max() < classes and v.tokens.sum() == sum(counts.values())
+    shared = {int(c) for c in classed[:-1]} - set(range(2, 2 + v.alone))
+    for c in shared:
+        mass = [10 ** (math.log10(n + 0.5) - v.share[c]) for (_, n), k in zip(words, classed) if k == c] + [10 ** (math.log10(0.5) - v.share[c])]
+        assert sum(mass) == pytest.approx(1)
+
+
+def test_language_model_beats_counts_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = L.score_language(docs).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(score)"] > got["sum(base_score)"] * 0.98
+
+
 def test_edited_texts_in_id_order(awkward):
     order = lambda t: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(t.encode(), 42)))[0]
     rows = sorted(((r.doc_id if r.doc_id is not None else -(2**63), r.text or "") for r in awkward.select("doc_id", "text").collect()), key=lambda x: (x[0], order(x[1])))
