@@ -174,6 +174,41 @@ def relative_flow(spark, sf_dir):
     return C.relative_flow(M.sector_funds(spark, sf_dir), M.benchmark(spark, sf_dir), "sector_id").select("sector_id", "date", "relative_flow")
 
 
+def macro_all(spark, sf_dir) -> DataFrame:
+    """The 36 macro features of every trading day."""
+    names = F.element_at(F.array(*map(F.lit, C.SECTORS)), F.col("sector_id").cast("int") + 1)
+    funds = M.sector_funds(spark, sf_dir).select(names.alias("fund"), "date", "close")
+    benchmark = M.benchmark(spark, sf_dir)
+    return C.macro_features(benchmark.select("date"), M.macro_series(spark, sf_dir), M.bars(spark, sf_dir), funds, benchmark, M.style_funds(spark, sf_dir))
+
+
+_DELTAS = {"credit_spread_change": ("spread", 30), "unemployment_change": ("unemployment", 90), "cpi_change_3m": ("cpi", 90), "dollar_change_30d": ("dollar_index", 30), "vix_change_5d": ("vix", 5)}
+
+
+def _delta_sql(name: str, series: str, days: int) -> str:
+    """A table of dates and a series' change over a number of days."""
+    rows = f"(FROM all_series WHERE series_id = '{series}')"
+    return f"""{name} AS (SELECT a.date, a.now, a.now - o.value AS change FROM (SELECT s.date, s.date - {days} AS before, n.value AS now FROM spine s ASOF LEFT JOIN {rows} n ON s.date >= n.date) a
+ASOF LEFT JOIN {rows} o ON a.before >= o.date)"""
+
+
+_STYLE = "({0} / nullif(lag({0}, 29) OVER (ORDER BY date), 0) - 1)"
+
+
+@register(
+    "macro_changes",
+    f"""WITH {SERIES}, {SPINE}, {BARS}, all_series AS (SELECT series_id, date, value FROM series UNION ALL
+  SELECT 'spread', date, b.value - a.value FROM (FROM series WHERE series_id = 'baa') b FULL JOIN (FROM series WHERE series_id = 'aaa') a USING (date)),
+style AS (SELECT date, avg(close) FILTER (WHERE stock_id % 2 = 0) AS growth, avg(close) FILTER (WHERE stock_id % 2 = 1) AS val FROM bars GROUP BY date),
+tilt AS (SELECT date, {_STYLE.format('growth')} - {_STYLE.format('val')} AS tilt FROM style),
+{', '.join(_delta_sql(n, *d) for n, d in _DELTAS.items())}
+SELECT s.date, {r6('unemployment_change.now')} AS unemployment_rate, {', '.join(f'{r6(f"{n}.change")} AS {n}' for n in _DELTAS)}, {r6('tilt')} AS growth_vs_value
+FROM spine s LEFT JOIN tilt USING (date) {' '.join(f'JOIN {n} ON s.date = {n}.date' for n in _DELTAS)}""",
+)
+def macro_changes(spark, sf_dir):
+    return macro_all(spark, sf_dir).select("date", *[F.round(c, 6).alias(c) for c in ("unemployment_rate", *_DELTAS, "growth_vs_value")])
+
+
 # --- sentiment -----------------------------------------------------------------------------
 
 AS_OF_DAYS = ("2024-01-10", "2024-01-20", "2024-01-30")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.safe import div
 from ..functions.windows import by, change, latest_per_key
 from ..operators import dataset as D
+from ..operators import fundamental as U
 from ..operators import labels as L
 from ..operators import macro as C
 from ..operators import preprocess as P
@@ -17,7 +18,7 @@ from ..operators import signals as G
 from ..operators import technical as T
 from ..sources import market as M
 from .fundamental import STOCKS
-from .market_context import EVENTS, LABELS, SERIES, insider_events
+from .market_context import EVENTS, LABELS, SERIES, filing_events, insider_events, macro_all, news_events, post_events
 from .technical import BARS, BENCH, changed, full, lagged, over, r6
 
 QUERIES, SQL = {}, {}
@@ -132,6 +133,45 @@ def sequences(spark, sf_dir):
     )
 
 
+# --- the same datasets with all 94 model features and all 18 columns of a step: no SQL ---------
+
+
+def _all_technical(spark, sf_dir) -> DataFrame:
+    return T.technical_features(M.bars(spark, sf_dir), M.benchmark(spark, sf_dir), M.sector_funds(spark, sf_dir))
+
+
+def _all_sentiment(spark, sf_dir) -> DataFrame:
+    """The 22 features at the days on which a stock has events."""
+    spine = M.activity(spark, sf_dir).select("stock_id", F.col("day").alias("as_of")).distinct()
+    return S.sentiment_features(spine, *[build(spark, sf_dir) for build in (post_events, news_events, insider_events, filing_events)])
+
+
+def _all_fundamental(spark, sf_dir) -> DataFrame:
+    """The 69 features at the ends of the quarters."""
+    statements = M.statements(spark, sf_dir)
+    dates = statements.select(F.col("period_end").alias("as_of")).distinct()
+    return U.fundamental_features(statements, M.company_info(spark, sf_dir), M.bars(spark, sf_dir), M.stocks(spark, sf_dir), dates, M.METRICS)
+
+
+def all_features(spark, sf_dir) -> DataFrame:
+    return D.feature_join(_all_technical(spark, sf_dir), M.stocks(spark, sf_dir), _all_sentiment(spark, sf_dir), macro_all(spark, sf_dir), _all_fundamental(spark, sf_dir))
+
+
+@register("training_set_wide")
+def training_set_wide(spark, sf_dir):
+    return D.training_set(L.forward_returns(M.bars(spark, sf_dir)).select("stock_id", "date", "label"), all_features(spark, sf_dir))
+
+
+@register("inference_set_wide")
+def inference_set_wide(spark, sf_dir):
+    return D.inference_set(all_features(spark, sf_dir), INFER_AT)
+
+
+@register("lstm_frame_wide")
+def lstm_frame_wide(spark, sf_dir):
+    return D.sequence_frame(M.bars(spark, sf_dir), _all_technical(spark, sf_dir), _all_sentiment(spark, sf_dir), macro_all(spark, sf_dir))
+
+
 # --- preprocessing: parts as rows, brands as sectors -----------------------------------------
 
 PARTS = "parts AS (SELECT p_partkey, p_brand AS sector, p_retailprice AS pe_ratio, p_size::DOUBLE AS rsi_14, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice / p_size END AS atr_14 FROM part)"

@@ -54,6 +54,12 @@ def sector_funds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trades(spark, sf_dir).groupBy(F.col("n_regionkey").alias("sector_id"), "date").agg(*_ohlcv()).select("sector_id", "date", "close")
 
 
+def style_funds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, growth, value: mean closes of the stocks with even ids and of those with odd ids."""
+    even = F.col("stock_id") % 2 == 0
+    return bars(spark, sf_dir).groupBy("date").agg(F.avg(F.when(even, F.col("close"))).alias("growth"), F.avg(F.when(~even, F.col("close"))).alias("value"))
+
+
 #: Statement metrics, as sums over a quarter's orders of a stock's customers: status and share of the price.
 METRICS = {
     "revenue": ("F,O,P", 1.0),

@@ -154,3 +154,22 @@ def test_models_give_four_probabilities(spark):
     p = models.probabilities(net, models.flatten_sequences(seq), "lstm")
     predicted = G.signal_columns(p.select("label", *[F.col(f"lstm_prob_{k}").alias(f"prob_class_{k}") for k in range(4)]))
     assert models.accuracy(predicted) > 0.6
+
+
+def test_wide_datasets_carry_every_feature(spark, smallest):
+    from quantspark.operators import dataset as D
+    from quantspark.plans import registry
+
+    q = registry.queries()
+    names = [*D.TECHNICAL, *D.SENTIMENT, *D.MACRO, *D.FUNDAMENTAL]
+    wide, narrow = q["training_set_wide"](spark, smallest), q["training_set"](spark, smallest)
+    assert len(names) == 94 and wide.columns == ["stock_id", "date", "label", "ticker", *names]
+    assert q["lstm_frame_wide"](spark, smallest).columns == ["stock_id", "date", *D.SEQUENCE]
+    same = ["stock_id", "date", "label"]
+    shared = ["momentum_30d", "bollinger_pct_b", "vix_level", "gross_margin"]
+    got = {tuple(r[:3]): r[3:] for r in wide.select(*same, *shared).collect()}
+    want = {tuple(r[:3]): r[3:] for r in narrow.select(*same, *shared).collect()}
+    assert got.keys() == want.keys()
+    for k, row in want.items():
+        for a, b in zip(got[k][:3], row[:3]):
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-5))
