@@ -1,8 +1,9 @@
-"""Command line: set up a store, compute and store features, predict, migrate, report.
+"""Command line: set up a store, compute and store features, train, predict, migrate, report.
 
     python -m quantspark.cli setup TABLES --out STORE
     python -m quantspark.cli features TABLES --out STORE [--date D] [--skip-macro] [--tickers A,B]
-    python -m quantspark.cli predict STORE [--date D] [--version V] [--top-n N] [--dry-run]
+    python -m quantspark.cli train TABLES --out STORE [--cutoff-date D] [--version V] [--train-months N] [--skip-lstm] [--tickers A,B] [--rounds N] [--dry-run]
+    python -m quantspark.cli predict STORE [--tables TABLES] [--date D] [--version V] [--top-n N] [--dry-run]
     python -m quantspark.cli migrate STORE --version N --table T --column NAME:TYPE [--description TEXT]
     python -m quantspark.cli status STORE
 """
@@ -42,8 +43,8 @@ def features(spark: SparkSession, tables: str, out: str, as_of: str | None = Non
     A source that fails is recorded and does not stop the others.
     """
     from .functions.windows import latest_per_key
-    from .operators import fundamental, macro, quality, technical
-    from .plans.modelling import _sentiment
+    from .operators import fundamental, quality, sentiment, technical
+    from .plans import market_context as C
     from .sources import market
     from .sources.store import TableStore
 
@@ -78,14 +79,16 @@ def features(spark: SparkSession, tables: str, out: str, as_of: str | None = Non
         return rows.withColumnRenamed("as_of", "date")
 
     def macro_rows() -> DataFrame:
-        names = F.element_at(F.array(*map(F.lit, macro.SECTORS)), F.col("sector_id") + 1)
-        funds = market.sector_funds(spark, tables).filter(F.col("date") <= day).select(names.alias("fund"), "date", "close")
-        rows = macro.macro_features(benchmark.select("date"), market.macro_series(spark, tables).filter(F.col("date") <= day), bars, funds, benchmark)
-        return rows.orderBy(F.desc("date")).limit(1)
+        return C.macro_all(spark, tables).filter(F.col("date") <= day).orderBy(F.desc("date")).limit(1)
+
+    def sentiment_rows() -> DataFrame:
+        spine = stocks.select("stock_id").crossJoin(F.broadcast(dates))  # one date
+        events = [build(spark, tables) for build in (C.post_events, C.news_events, C.insider_events, C.filing_events)]
+        return sentiment.sentiment_features(spine, *events).withColumnRenamed("as_of", "date")
 
     stage("technical", technical_rows)
     stage("fundamental", fundamental_rows)
-    stage("sentiment", lambda: _sentiment(spark, tables).withColumnRenamed("as_of", "date").join(stocks.select("stock_id"), "stock_id", "left_semi"))
+    stage("sentiment", sentiment_rows)
     if not skip_macro:
         stage("macro", macro_rows)
     if counts.get("technical"):
@@ -99,25 +102,52 @@ def features(spark: SparkSession, tables: str, out: str, as_of: str | None = Non
     return run
 
 
-def predict(spark: SparkSession, store: str, as_of: str | None, version: str, top_n: int, dry_run: bool) -> DataFrame:
-    """Score the latest technical features with the saved model ``version`` and store the predictions; returns the top signals."""
+def predict(spark: SparkSession, store: str, as_of: str | None, version: str, top_n: int, dry_run: bool, tables: str | None = None) -> DataFrame:
+    """Score the newest stored features with the saved model ``version`` and store the predictions; returns the top signals.
+
+    "latest" is the version trained last.  With ``tables``, a version that has a sequence model
+    blends its probabilities in; stocks too young for a sequence keep those of the trees.
+    """
     from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 
-    from .functions.windows import latest_per_key
-    from .operators import models, signals
+    from .functions.windows import asof_join, latest_per_key
+    from .operators import dataset, models, signals
+    from .operators.preprocess import FeatureScaler
+    from .plans import modelling, training
     from .sources.store import TableStore
 
     db = TableStore(spark, store)
-    rows = db.read("technical_features")
-    rows = latest_per_key(rows.filter(F.col("date") <= as_of) if as_of else rows, ["stock_id"])
-    scored = models.probabilities(PipelineModel.load(f"{store}/models/{version}"), rows, "xgb")
-    out = signals.score_and_action(signals.signal_columns(signals.blend(scored, second=None)))
+    if version == "latest":
+        newest = db.read("model_runs").orderBy(F.desc("trained_at")).select("version").first()
+        version = newest["version"] if newest else version
+    home = f"{store}/models/{version}"
+    until = lambda df: df.filter(F.col("date") <= as_of) if as_of else df
+    rows = latest_per_key(until(db.read("technical_features")), ["stock_id"])
+    rows = asof_join(rows, db.read("fundamental_features"), ["stock_id"], values=list(dataset.FUNDAMENTAL))
+    rows = rows.join(db.read("sentiment_features").select("stock_id", "date", *dataset.SENTIMENT), ["stock_id", "date"], "left")
+    rows = rows.join(db.read("macro_features").select("date", *dataset.MACRO), "date", "left")
+    if _exists(spark, f"{home}_scaler"):
+        rows = FeatureScaler.load(spark, f"{home}_scaler").transform(rows)
+    scored, second = models.probabilities(PipelineModel.load(home), rows, "xgb"), None
+    if tables and _exists(spark, f"{home}_sequences"):
+        scaler, second = FeatureScaler.load(spark, f"{home}_steps"), "lstm"
+        frame = scaler.transform(training.filled_steps(until(modelling.all_steps(spark, tables))))
+        last = latest_per_key(dataset.sequences(frame, scaler.features), ["stock_id"])
+        found = models.probabilities(MultilayerPerceptronClassificationModel.load(f"{home}_sequences"), models.flatten_sequences(last), "lstm")
+        scored = scored.join(found.select("stock_id", *[f"lstm_prob_{k}" for k in range(4)]), "stock_id", "left")
+    out = signals.score_and_action(signals.signal_columns(signals.blend(scored, second=second)))
     if not dry_run:
         db.overwrite_by_key("predictions", prediction_rows(out, version))
     ticker = db.read("stocks").select(F.col("id").alias("stock_id"), "ticker")
     return signals.top_signals(out.join(F.broadcast(ticker), "stock_id"), top_n).select("ticker", "date", "expected_return", "conviction", "action")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def prediction_rows(signals: DataFrame, version: str) -> DataFrame:
     """Signals as stored: returns in percent, bull probability, component probabilities."""
     bull = (F.col("prob_class_2") + F.col("prob_class_3")).alias("bull_probability")
@@ -131,16 +161,25 @@ def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     parser = argparse.ArgumentParser(prog="quantspark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     todo = parser.add_subparsers(dest="todo", required=True)
-    for name in ("setup", "features"):
+    for name in ("setup", "features", "train"):
         p = todo.add_parser(name)
         p.add_argument("tables")
         p.add_argument("--out", required=True)
+        if name != "setup":
+            p.add_argument("--tickers", type=lambda s: s.split(","))
         if name == "features":
             p.add_argument("--date")
             p.add_argument("--skip-macro", action="store_true")
-            p.add_argument("--tickers", type=lambda s: s.split(","))
+        if name == "train":
+            p.add_argument("--cutoff-date", type=dt.date.fromisoformat, default=dt.date.today())
+            p.add_argument("--version")
+            p.add_argument("--train-months", type=int, default=36)
+            p.add_argument("--skip-lstm", action="store_true")
+            p.add_argument("--rounds", type=int, default=500)
+            p.add_argument("--dry-run", action="store_true")
     p = todo.add_parser("predict")
     p.add_argument("store")
+    p.add_argument("--tables")
     p.add_argument("--date")
     p.add_argument("--version", default="latest")
     p.add_argument("--top-n", type=int, default=10)
@@ -160,7 +199,12 @@ def main(argv: list[str] | None = None) -> int:
         status = features(spark, a.tables, a.out, a.date, a.skip_macro, a.tickers).first()["status"]
         return {"ok": 0, "partial": 1}.get(status, 2)
     elif a.todo == "predict":
-        predict(spark, a.store, a.date, a.version, a.top_n, a.dry_run).show(a.top_n, False)
+        predict(spark, a.store, a.date, a.version, a.top_n, a.dry_run, a.tables).show(a.top_n, False)
+    elif a.todo == "train":
+        from .plans.training import train
+
+        version = a.version or a.cutoff_date.strftime("%Y%m%d")
+        train(spark, a.tables, a.out, a.cutoff_date, version, a.train_months, a.skip_lstm, a.tickers, a.dry_run, a.rounds).show(1, False, True)
     else:
         from .sources.store import TableStore
 

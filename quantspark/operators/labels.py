@@ -36,6 +36,12 @@ def labels_between(bars: DataFrame, start: date, end: date, horizon: int = HORIZ
     return forward_returns(needed, horizon).filter(F.col("date").between(F.lit(start), F.lit(end)) & F.col("label").isNotNull())
 
 
+def trading_days_later(day: Column | str, n: int) -> Column:
+    """About ``n`` trading days after ``day`` (before it where n is negative): one and a half calendar days each, cut to whole days."""
+    days = int(abs(n) * 1.5)
+    return F.date_add(day, days if n >= 0 else -days)
+
+
 def class_distribution(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.filter(F.col("label").isNotNull()).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
 

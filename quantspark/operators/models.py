@@ -1,17 +1,21 @@
-"""Four-class models by Spark ML: random forest on flat features, perceptron on sequences."""
+"""Four-class models by Spark ML: boosted trees or a random forest on flat features, perceptron on sequences."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+CLASSES = range(4)
+
+
 def fit_forest(df: DataFrame, features: Sequence[str], label: str = "label", trees: int = 100, depth: int = 6, seed: int = 42) -> PipelineModel:
     """Random forest over the four classes: the tree ensemble of Spark ML that gives class probabilities."""
     rows = df.select(*features, F.col(label).cast("double").alias("label")).na.fill(0.0, list(features))
@@ -19,17 +23,57 @@ def fit_forest(df: DataFrame, features: Sequence[str], label: str = "label", tre
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest]).fit(rows)
 
 
+def fit_boosted(
+    df: DataFrame, features: Sequence[str], label: str = "label", validation: str | None = None, rounds: int = 500, depth: int = 6, step: float = 0.05, seed: int = 42
+) -> PipelineModel:
+    """Gradient-boosted trees, one ensemble for each class against the others.
+
+    ``validation`` names a boolean column: its rows are held out, and an ensemble stops growing once
+    a round no longer lowers their loss.  Rows without a label are left out, null features are 0.
+    """
+    parts = [F.col(validation).alias("held_out")] if validation else []
+    rows = df.filter(F.col(label).isNotNull()).select(*features, *parts, *[(F.col(label) == k).cast("double").alias(f"is_{k}") for k in CLASSES])
+    rows = rows.na.fill(0.0, list(features)).persist(StorageLevel.MEMORY_AND_DISK)  # read by each of the four fits
+    held = {"validationIndicatorCol": "held_out"} if validation else {}
+    ensembles = [
+        GBTClassifier(
+            featuresCol="features", labelCol=f"is_{k}", predictionCol=f"prediction_{k}", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, **held
+        )
+        .setProbabilityCol(f"probability_{k}")
+        .setRawPredictionCol(f"raw_{k}")
+        for k in CLASSES
+    ]
+    try:
+        return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), *ensembles]).fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def probabilities(model, df: DataFrame, name: str, classes: int = 4) -> DataFrame:
-    """``df`` with ``<name>_prob_0..3``; classes the model never saw get 0."""
+    """``df`` with ``<name>_prob_0..3``; classes the model never saw get 0.
+
+    Where each class has an ensemble of its own, its probabilities are divided by their sum.
+    """
     inputs = model.stages[0].getInputCols() if isinstance(model, PipelineModel) else []
     scored = model.transform(df.na.fill(0.0, inputs) if inputs else df)
+    if len(inputs) and len(model.stages) > 2:
+        each = [vector_to_array(f"probability_{k}")[1] for k in range(classes)]
+        total = sum(each[1:], each[0])
+        return scored.select(*df.columns, *[(p / total).alias(f"{name}_prob_{k}") for k, p in enumerate(each)])
     p = vector_to_array("probability")
     return scored.select(*df.columns, *[F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)).alias(f"{name}_prob_{k}") for k in range(classes)])
 
 
 def importances(model: PipelineModel, top: int = 20) -> list[tuple[str, float]]:
-    names = model.stages[0].getInputCols()
-    return sorted(zip(names, model.stages[1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))[:top]
+    """The ``top`` features by their share of all gains, the mean over the ensembles."""
+    trees = model.stages[1:]
+    shares = sum(m.featureImportances.toArray() for m in trees) / len(trees)
+    return sorted(zip(model.stages[0].getInputCols(), shares.tolist()), key=lambda x: (-x[1], x[0]))[:top]
+
+
+def rounds_kept(model: PipelineModel) -> list[int]:
+    """Trees of each class's ensemble after early stopping."""
+    return [m.getNumTrees for m in model.stages[1:]]
 
 
 def flatten_sequences(df: DataFrame, column: str = "sequence") -> DataFrame:
@@ -44,3 +88,15 @@ def fit_sequences(df: DataFrame, inputs: int, label: str = "label", hidden: Sequ
 
 def accuracy(df: DataFrame, predicted: str = "predicted_class", label: str = "label") -> float:
     return df.agg(F.avg((F.col(predicted) == F.col(label)).cast("double"))).first()[0]
+
+
+def log_loss(df: DataFrame, name: str, label: str = "label") -> float:
+    """Mean negative logarithm of the probability given to the true class."""
+    mine = F.get(F.array(*[F.col(f"{name}_prob_{k}") for k in CLASSES]), F.col(label))
+    return df.agg(F.avg(-F.ln(F.greatest(mine, F.lit(1e-15))))).first()[0]
+
+
+def most_likely(name: str):
+    """The class of the highest ``<name>_prob_k``, the first on ties."""
+    p = [F.col(f"{name}_prob_{k}") for k in CLASSES]
+    return (F.array_position(F.array(*p), F.greatest(*p)) - 1).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,16 @@ from ..operators import dataset as D
 from ..operators import fundamental as U
 from ..operators import labels as L
 from ..operators import macro as C
+from ..operators import models as A
 from ..operators import preprocess as P
 from ..operators import quality as Q
 from ..operators import sentiment as S
 from ..operators import signals as G
 from ..operators import technical as T
 from ..sources import market as M
+from . import training as R
 from .fundamental import STOCKS
-from .market_context import EVENTS, LABELS, SERIES, filing_events, insider_events, macro_all, news_events, post_events
+from .market_context import BUCKET, EVENTS, LABELS, SERIES, filing_events, insider_events, macro_all, news_events, post_events
 from .technical import BARS, BENCH, changed, full, lagged, over, r6
 
 QUERIES, SQL = {}, {}
@@ -168,10 +172,64 @@ def inference_set_wide(spark, sf_dir):
 
 
 @register("lstm_frame_wide")
-def lstm_frame_wide(spark, sf_dir):
+def all_steps(spark, sf_dir):
     return D.sequence_frame(M.bars(spark, sf_dir), _all_technical(spark, sf_dir), _all_sentiment(spark, sf_dir), macro_all(spark, sf_dir))
 
 
+# --- training: a window that ends at TRAIN_UNTIL, its last four months held out -------------
+
+TRAIN_UNTIL = date(2000, 6, 30)
+TRAIN_FROM, HOLD_FROM = R.months_before(TRAIN_UNTIL, 36), R.months_before(TRAIN_UNTIL, R.VALIDATION_MONTHS)
+_WINDOW = f"""{LABELS}, near AS (FROM bars WHERE date BETWEEN DATE '{TRAIN_FROM}' AND DATE '{TRAIN_UNTIL}' + 150),
+win AS (SELECT stock_id, date, lead(close, 63) OVER (PARTITION BY stock_id ORDER BY date) / nullif(close, 0) - 1 AS fr FROM near),
+win_labels AS (SELECT stock_id, date, fr, ({BUCKET})::INT AS label FROM win WHERE date <= DATE '{TRAIN_UNTIL}' AND fr IS NOT NULL)"""
+
+
+def _window_labels(spark, sf_dir) -> DataFrame:
+    return L.labels_between(M.bars(spark, sf_dir), TRAIN_FROM, TRAIN_UNTIL)
+
+
+@register("labels_window", f"{_WINDOW} SELECT stock_id, date, {r6('fr')} AS forward_return, label FROM win_labels")
+def labels_window(spark, sf_dir):
+    return _window_labels(spark, sf_dir).select("stock_id", "date", F.round("forward_return", 6).alias("forward_return"), "label")
+
+
+@register("train_split", f"{_WINDOW} SELECT date >= DATE '{HOLD_FROM}' AS held_out, label, count(*) AS n, min(date) AS first, max(date) AS last FROM win_labels GROUP BY ALL")
+def train_split(spark, sf_dir):
+    rows = R.split(_window_labels(spark, sf_dir), TRAIN_FROM, TRAIN_UNTIL, HOLD_FROM)
+    return rows.groupBy("held_out", "label").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def _train_data(spark, sf_dir) -> DataFrame:
+    labelled = _window_labels(spark, sf_dir).select("stock_id", "date", "label")
+    return R.split(D.training_set(labelled, features(spark, sf_dir)), TRAIN_FROM, TRAIN_UNTIL, HOLD_FROM)
+
+
+@register("boosted_scores")
+def boosted_scores(spark, sf_dir):
+    """Probabilities of the held-out rows by boosted trees over the training rows."""
+    held = R.fit_trees(_train_data(spark, sf_dir), rounds=8, depth=4)[2]
+    return held.select("stock_id", "date", "label", *[f"xgb_prob_{k}" for k in range(4)], "predicted_class")
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    model = R.fit_trees(_train_data(spark, sf_dir), rounds=8, depth=4)[1]
+    return spark.createDataFrame(A.importances(model), "feature string, importance double")  # one row per feature
+
+
+@register("sequence_scores")
+def sequence_scores(spark, sf_dir):
+    """Probabilities of the held-out sequences by the perceptron, over the five step columns that have SQL."""
+    held = R.fit_steps(_steps(spark, sf_dir), _window_labels(spark, sf_dir).select("stock_id", "date", "label"), TRAIN_FROM, TRAIN_UNTIL, HOLD_FROM, rounds=10)[2]
+    return held.select("stock_id", "date", "label", *[f"lstm_prob_{k}" for k in range(4)], "predicted_class")
+
+
+@register("trading_day_offset", f"WITH {BARS} SELECT stock_id, date, date + 94 AS horizon_end, date - 94 AS horizon_start FROM bars")
+def trading_day_offset(spark, sf_dir):
+    return M.bars(spark, sf_dir).select("stock_id", "date", L.trading_days_later("date", L.HORIZON).alias("horizon_end"), L.trading_days_later("date", -L.HORIZON).alias("horizon_start"))
+
+
 # --- preprocessing: parts as rows, brands as sectors -----------------------------------------
 
 PARTS = "parts AS (SELECT p_partkey, p_brand AS sector, p_retailprice AS pe_ratio, p_size::DOUBLE AS rsi_14, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice / p_size END AS atr_14 FROM part)"
@@ -445,3 +503,9 @@ def filings_summary(spark, sf_dir):
     bad = F.coalesce(((F.col("kind") == "error") & (F.col("amount") > 90)).cast("long"), F.lit(0))
     rows = M.activity(spark, sf_dir).join(F.broadcast(M.stocks(spark, sf_dir)), "stock_id")
     return rows.groupBy("ticker", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("negative"))
+
+
+@register("model_accuracy", f"{SIGNALS}, a AS (SELECT (cls = CASE WHEN actual_return <= -0.05::DOUBLE THEN 0 WHEN actual_return <= 0.05::DOUBLE THEN 1 WHEN actual_return <= 0.15::DOUBLE THEN 2 ELSE 3 END)::INT AS hit FROM s) SELECT count(*) AS n, {r6('avg(hit)')} AS accuracy FROM a")
+def model_accuracy(spark, sf_dir):
+    rows = _signals(spark, sf_dir).select((F.col("predicted_class") == L.bucket(F.col("actual_return"))).cast("double").alias("hit"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from ..operators import fundamental, technical
 
-_TYPES = {"s": T.StringType(), "l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType(), "date": T.DateType(), "ts": T.TimestampType(), "strings": T.ArrayType(T.StringType())}
+_TYPES = {"s": T.StringType(), "l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType(), "date": T.DateType(), "ts": T.TimestampType(), "strings": T.ArrayType(T.StringType()), "ints": T.ArrayType(T.IntegerType())}
 
 
 def _schema(fields: str) -> T.StructType:
@@ -43,6 +43,9 @@ TABLES: dict[str, T.StructType] = {
     "positions": _schema("stock_id:l opened:date closed:date weight entry_price exit_price status:s"),
     "backtest_results": _schema("run_id:s date:date equity period_return turnover"),
     "pipeline_runs": _schema("run_id:s started:ts finished:ts status:s prices:l filings:l fundamental:l technical:l sentiment:l stale_tickers:strings qa_warnings:strings error_log:strings"),
+    "model_runs": _schema(
+        "version:s cutoff:date train_start:date validation_start:date trained_at:ts train_rows:l validation_rows:l rounds:ints accuracy log_loss sequence_accuracy folds:i top_features:strings"
+    ),
     "schema_version": _schema("version:i description:s applied_at:ts"),
 }
 

@@ -173,3 +173,29 @@ def test_wide_datasets_carry_every_feature(spark, smallest):
     for k, row in want.items():
         for a, b in zip(got[k][:3], row[:3]):
             assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-5))
+
+
+def test_boosted_trees_learn_and_stop(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rng = np.random.default_rng(3)
+    rows = [(float(x), float(y), int(2 * (x > 0) + (y > 0)), bool(i % 4 == 0)) for i, (x, y) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows + [(None, 0.0, None, False)], "a double, b double, label int, held_out boolean")
+    model = models.fit_boosted(df, ["a", "b"], validation="held_out", rounds=6, depth=3, step=0.3)
+    assert len(models.rounds_kept(model)) == 4 and max(models.rounds_kept(model)) <= 6
+    model.write().overwrite().save(str(tmp_path / "boosted"))
+    held = models.probabilities(PipelineModel.load(str(tmp_path / "boosted")), df.filter("held_out"), "xgb").withColumn("predicted_class", models.most_likely("xgb"))
+    assert models.accuracy(held) > 0.9
+    for r in held.collect():
+        assert sum(r[f"xgb_prob_{k}"] for k in range(4)) == pytest.approx(1)
+    want = np.mean([-np.log(r[f"xgb_prob_{r.label}"]) for r in held.collect()])
+    assert models.log_loss(held, "xgb") == pytest.approx(want)
+    assert [n for n, _ in models.importances(model, 1)][0] in ("a", "b") and sum(x for _, x in models.importances(model)) == pytest.approx(1)
+
+
+def test_trading_day_offset(spark):
+    from quantspark.operators import labels as L
+
+    day = spark.range(1).select(F.lit(dt.date(2024, 1, 31)).alias("d"))
+    got = day.select(L.trading_days_later("d", 63).alias("a"), L.trading_days_later("d", -5).alias("b"), L.trading_days_later("d", 0).alias("c")).first()
+    assert tuple(got) == (dt.date(2024, 5, 4), dt.date(2024, 1, 24), dt.date(2024, 1, 31))

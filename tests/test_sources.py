@@ -101,3 +101,30 @@ def test_command_line_features_and_predictions(spark, tmp_path, smallest):
     assert top.columns == ["ticker", "date", "expected_return", "conviction", "action"]
     assert db.read("predictions").count() == before
     assert cli.main(["status", out]) == 0
+
+
+def test_command_line_training_and_prediction(spark, tmp_path, smallest):
+    from quantspark import cli
+    from quantspark.plans import training
+    from quantspark.plans.market_context import macro_all
+
+    out, cutoff = str(tmp_path / "store"), dt.date(2000, 6, 30)
+    cli.setup(spark, smallest, out)
+    run = cli.features(spark, smallest, out, "2000-06-30").first()
+    db = store.TableStore(spark, out)
+    assert run.status == "ok" and run.sentiment == 25
+    stored = db.read("macro_features").first()
+    tilts = {r.date: r.growth_vs_value for r in macro_all(spark, smallest).select("date", "growth_vs_value").collect()}
+    assert stored.growth_vs_value == tilts[stored.date] and any(x is not None for x in tilts.values())
+    dry = training.train(spark, smallest, out, cutoff, "v0", dry_run=True).first()
+    assert dry.train_rows > 0 and dry.validation_rows > 0 and db.read("model_runs").count() == 0
+    run = training.train(spark, smallest, out, cutoff, "v1", rounds=3).first()
+    assert run.train_rows == dry.train_rows and len(run.rounds) == 4 and max(run.rounds) <= 3
+    assert run.train_start == dt.date(1997, 6, 30) and run.validation_start == dt.date(2000, 2, 29)
+    assert 0 <= run.accuracy <= 1 and run.log_loss > 0 and 0 <= run.sequence_accuracy <= 1 and len(run.top_features) == 10
+    top = cli.predict(spark, out, "2000-06-30", "latest", 5, False, smallest)
+    assert 0 < top.count() <= 5
+    saved = db.read("predictions").filter("model_version = 'v1'")
+    total = sum(F.col(f"prob_class_{k}") for k in range(4))
+    assert saved.count() > 0 and saved.filter(F.abs(total - 1) > 1e-9).count() == 0
+    assert saved.filter("lstm_prob_0 is not null").count() > 0
