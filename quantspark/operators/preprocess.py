@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Features that are normalised within their sector.
@@ -25,6 +26,42 @@ def _clip(x: Column, lo: Column, hi: Column) -> Column:
     return F.when(x.isNull(), None).otherwise(F.greatest(F.least(x, hi), lo))
 
 
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(feature, quantiles): exact interpolated quantiles of every column, null where it has no value.
+
+    A sketch brackets each order statistic (its rank is off by at most 1 in ``accuracy``), values below
+    the bracket are counted, and only those inside it are grouped by value and ranked: about six of
+    ``accuracy`` rows, or all rows where there are fewer than ``accuracy``.  Nulls do not count.
+    """
+    columns, slack = list(columns), 3 / accuracy
+    ends = [e for q in probabilities for e in (max(q - slack, 0.0), min(q + slack, 1.0))]
+    seen = df.agg(
+        *[F.struct(F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.percentile_approx(c, ends, accuracy).alias("at")).alias(c) for c in columns]
+    )
+    few = lambda c: F.col(f"{c}.n") < accuracy
+    limits = seen.select(
+        *[F.col(f"{c}.n").alias(f"__n_{c}") for c in columns],
+        *[F.when(few(c), F.col(f"{c}.least")).otherwise(F.col(f"{c}.at")[2 * i]).alias(f"__lo_{i}_{c}") for c in columns for i in range(len(probabilities))],
+        *[F.when(few(c), F.col(f"{c}.most")).otherwise(F.col(f"{c}.at")[2 * i + 1]).alias(f"__hi_{i}_{c}") for c in columns for i in range(len(probabilities))],
+    )
+    rows = df.select(*columns).crossJoin(F.broadcast(limits))  # one row
+    pairs = [(c, i) for c in columns for i in range(len(probabilities))]
+    lo, hi = (lambda c, i: F.col(f"__lo_{i}_{c}")), (lambda c, i: F.col(f"__hi_{i}_{c}"))
+    counted = rows.agg(*[F.struct(F.max(f"__n_{c}").alias("n"), F.count(F.when(F.col(c) < lo(c, i), 1)).alias("below")).alias(f"{i}_{c}") for c, i in pairs])
+    below = counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("i"), F.lit(float(probabilities[i])).alias("q"), F.col(f"{i}_{c}").alias("s")) for c, i in pairs])).alias("b"))
+    inside = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("i"), F.when(F.col(c).between(lo(c, i), hi(c, i)), F.col(c).cast("double")).alias("value")) for c, i in pairs])
+    values = rows.select(F.explode(F.filter(inside, lambda x: x["value"].isNotNull())).alias("v")).groupBy("v.feature", "v.i", "v.value").count()
+    up_to = F.sum("count").over(W.partitionBy("feature", "i").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    ranked = values.withColumn("seen", up_to).join(F.broadcast(below.select("b.feature", "b.i", "b.q", "b.s.*")), ["feature", "i"], "right")  # a row per feature and quantile
+    place = F.col("q") * (F.col("n") - 1)
+    reached = F.coalesce(F.col("seen"), F.lit(0)) + F.col("below")
+    found = ranked.groupBy("feature", "i").agg(
+        F.min(F.when(reached > F.floor(place), F.col("value"))).alias("a"), F.min(F.when(reached > F.ceil(place), F.col("value"))).alias("b"), F.first(place - F.floor(place)).alias("part")
+    )
+    each = found.select("feature", "i", F.when(F.col("part") == 0, F.col("a")).otherwise((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b")).alias("value"))
+    return each.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("quantiles"))
+
+
 @dataclass
 class FeatureScaler:
     """Fitted state: ``parameters`` has feature, sector (null: all), lo, hi, mean, std."""
@@ -37,11 +74,12 @@ class FeatureScaler:
     def fit(cls, df: DataFrame, features: Sequence[str], sector_col: str | None = None, quantile: float = 0.01) -> "FeatureScaler":
         """Bounds are exact quantiles, means and sample deviations those of the clipped and filled values.
 
-        All features are aggregated together: one pass for the bounds, one for the moments.
+        All features are aggregated together; no task holds the values of a whole feature.
         """
         features = list(features)
-        bounds = df.agg(*[F.percentile(c, F.array(F.lit(quantile), F.lit(1 - quantile))).alias(c) for c in features])
-        tall_bounds = bounds.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)[0].alias("lo"), F.col(c)[1].alias("hi")) for c in features])).alias("p")).select("p.*")
+        tall_bounds = exact_quantiles(df, features, (quantile, 1 - quantile)).select("feature", F.col("quantiles")[0].alias("lo"), F.col("quantiles")[1].alias("hi"))
+        of = lambda c: F.max(F.when(F.col("feature") == c, F.array("lo", "hi"))).alias(c)
+        bounds = tall_bounds.agg(*[of(c) for c in features])
         limits = df.crossJoin(F.broadcast(bounds.select(*[F.col(c).alias(f"__b_{c}") for c in features])))  # one row
         kept = limits.select(*([sector_col] if sector_col else []), *[F.coalesce(_clip(F.col(c), F.col(f"__b_{c}")[0], F.col(f"__b_{c}")[1]), F.lit(0.0)).alias(c) for c in features])
 
@@ -99,11 +137,10 @@ def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.sum(F.col(c).isNull().cast("long")).alias("nulls"),
                 F.avg(c).alias("mean"),
                 F.stddev_samp(c).alias("std"),
-                F.percentile(c, 0.01).alias("p01"),
-                F.percentile(c, 0.99).alias("p99"),
             ).alias(c)
             for c in columns
         ]
     )
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in columns])).alias("r")
-    return stats.select(rows).select("r.feature", "r.s.*").orderBy("non_null_pct", "feature")
+    ends = exact_quantiles(df, columns, (0.01, 0.99)).select("feature", F.col("quantiles")[0].alias("p01"), F.col("quantiles")[1].alias("p99"))
+    return stats.select(rows).select("r.feature", "r.s.*").join(F.broadcast(ends), "feature", "left").orderBy("non_null_pct", "feature")  # a row per feature

@@ -199,3 +199,16 @@ def test_trading_day_offset(spark):
     day = spark.range(1).select(F.lit(dt.date(2024, 1, 31)).alias("d"))
     got = day.select(L.trading_days_later("d", 63).alias("a"), L.trading_days_later("d", -5).alias("b"), L.trading_days_later("d", 0).alias("c")).first()
     assert tuple(got) == (dt.date(2024, 5, 4), dt.date(2024, 1, 24), dt.date(2024, 1, 31))
+
+
+def test_exact_quantiles_in_brackets_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.lognormal(size=30_000), np.where(rng.random(30_000) < 0.4, 7.0, rng.normal(size=30_000))
+    df = spark.createDataFrame([(float(x), float(y) if i % 9 else None, None, float(i % 3)) for i, (x, y) in enumerate(zip(a, b))], "a double, b double, c double, d double")
+    got = {r.feature: r.quantiles for r in P.exact_quantiles(df, ["a", "b", "c", "d"], (0.01, 0.5, 0.99), accuracy=1000).collect()}
+    kept = np.array([y for i, y in enumerate(b) if i % 9])
+    for name, values in (("a", a), ("b", kept), ("d", np.arange(30_000) % 3)):
+        assert got[name] == pytest.approx(np.quantile(values, (0.01, 0.5, 0.99)), rel=1e-12), name
+    assert got["c"] == [None, None, None]
+    few = {r.feature: r.quantiles for r in P.exact_quantiles(df.limit(7), ["a"], (0.0, 0.3, 1.0)).collect()}["a"]
+    assert few == pytest.approx(np.quantile(a[:7], (0.0, 0.3, 1.0)))

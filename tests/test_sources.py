@@ -128,3 +128,19 @@ def test_command_line_training_and_prediction(spark, tmp_path, smallest):
     total = sum(F.col(f"prob_class_{k}") for k in range(4))
     assert saved.count() > 0 and saved.filter(F.abs(total - 1) > 1e-9).count() == 0
     assert saved.filter("lstm_prob_0 is not null").count() > 0
+
+
+def test_appends_write_their_rows_only_and_overtaken_rewrites_fail(spark, tmp_path, monkeypatch):
+    db = store.TableStore(spark, str(tmp_path))
+    rows = lambda *ids: spark.createDataFrame([(i, f"t{i}") for i in ids], "id int, ticker string")
+    monkeypatch.setattr(store, "MOST_PARTS", 3)
+    parts = []
+    for ids in ((1, 2), (2, 3), (4,), (4, 5)):
+        db.append_new("stocks", rows(*ids))
+        parts.append(db._current("stocks").count(",") + 1)
+    assert parts == [1, 2, 3, 1] and sorted(r.id for r in db.read("stocks").collect()) == [1, 2, 3, 4, 5]
+    late = db._current("stocks")
+    db.append("stocks", rows(6))
+    with pytest.raises(RuntimeError):
+        db._publish("stocks", rows(9), late)
+    assert sorted(r.id for r in db.read("stocks").collect()) == [1, 2, 3, 4, 5, 6]
