@@ -165,9 +165,9 @@ forms AS MATERIALIZED (
   SELECT word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * words.n THEN form END AS form, CASE WHEN form_n >= 2 * words.n THEN form_n END AS form_n
   FROM words LEFT JOIN near USING (word)),
 way AS (
-  SELECT word, word AS at, form AS next FROM forms
+  SELECT word, word AS reached, form AS next FROM forms
   UNION ALL SELECT way.word, forms.word, forms.form FROM way JOIN forms ON forms.word = way.next)
-SELECT word, form, at AS root, n, n_near, form_n FROM forms JOIN (FROM way WHERE next IS NULL) USING (word)
+SELECT word, form, reached AS root, n, n_near, form_n FROM forms JOIN (FROM way WHERE next IS NULL) USING (word)
 """,
     "op12_fill_middle": f"""
 WITH units AS (
