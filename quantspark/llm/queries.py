@@ -107,8 +107,8 @@ def _crc_table() -> str:
     return f"{table}::BIGINT[]"
 
 
-_UTF8 = "flatten(list_transform(string_split({}, ''), c -> CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))"
-_CRC32 = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_UTF8}), (c, b) -> xor(c >> 8, ({_crc_table()})[xor(c & 255, b) + 1])), 4294967295::BIGINT)"
+_UTF8 = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))"
+_CRC32 = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_UTF8}), lambda c, b: xor(c >> 8, ({_crc_table()})[xor(c & 255, b) + 1])), 4294967295::BIGINT)"
 _DRAW = "('0x' || substr(sha256('1:' || doc_id), {}, 8))::BIGINT"
 
 ORACLE_SQL = {
@@ -158,7 +158,7 @@ slipped AS (
   SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, times FROM coded),
 words AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM slipped WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
 keys AS MATERIALIZED (
-  SELECT word, n, unnest(list_distinct(list_concat([word], list_transform(range(1, length(word) + 1), i -> word[:i - 1] || word[i + 1:])))) AS key FROM words),
+  SELECT word, n, unnest(list_distinct(list_concat([word], list_transform(range(1, length(word) + 1), lambda i: word[:i - 1] || word[i + 1:])))) AS key FROM words),
 pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM keys a JOIN keys b ON a.key = b.key AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
 near AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM pairs GROUP BY ALL),
 forms AS MATERIALIZED (
