@@ -108,9 +108,6 @@ def predict(spark: SparkSession, store: str, as_of: str | None, version: str, to
     "latest" is the version trained last.  With ``tables``, a version that has a sequence model
     blends its probabilities in; stocks too young for a sequence keep those of the trees.
     """
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import MultilayerPerceptronClassificationModel
-
     from .functions.windows import asof_join, latest_per_key
     from .operators import dataset, models, signals
     from .operators.preprocess import FeatureScaler
@@ -129,12 +126,12 @@ def predict(spark: SparkSession, store: str, as_of: str | None, version: str, to
     rows = rows.join(db.read("macro_features").select("date", *dataset.MACRO), "date", "left")
     if _exists(spark, f"{home}_scaler"):
         rows = FeatureScaler.load(spark, f"{home}_scaler").transform(rows)
-    scored, second = models.probabilities(PipelineModel.load(home), rows, "xgb"), None
+    scored, second = models.probabilities(models.load_flat(spark, home), rows, "xgb"), None
     if tables and _exists(spark, f"{home}_sequences"):
         scaler, second = FeatureScaler.load(spark, f"{home}_steps"), "lstm"
         frame = scaler.transform(training.filled_steps(until(modelling.all_steps(spark, tables))))
         last = latest_per_key(dataset.sequences(frame, scaler.features), ["stock_id"])
-        found = models.probabilities(MultilayerPerceptronClassificationModel.load(f"{home}_sequences"), models.flatten_sequences(last), "lstm")
+        found = models.probabilities(models.RecurrentModel.load(spark, f"{home}_sequences"), last, "lstm")
         scored = scored.join(found.select("stock_id", *[f"lstm_prob_{k}" for k in range(4)]), "stock_id", "left")
     out = signals.score_and_action(signals.signal_columns(signals.blend(scored, second=second)))
     if not dry_run:

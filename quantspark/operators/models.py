@@ -1,17 +1,18 @@
-"""Four-class models by Spark ML: boosted trees or a random forest on flat features, perceptron on sequences."""
+"""Four-class models: boosted trees or a random forest on flat features, a recurrent network or a perceptron on sequences."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import BoostedTrees, BoostParams, boosted_probabilities, fit_boosted_trees
+from .recurrent import RecurrentModel, RecurrentParams, fit_recurrent, recurrent_probabilities
 
 CLASSES = range(4)
 
@@ -24,56 +25,43 @@ def fit_forest(df: DataFrame, features: Sequence[str], label: str = "label", tre
 
 
 def fit_boosted(
-    df: DataFrame, features: Sequence[str], label: str = "label", validation: str | None = None, rounds: int = 500, depth: int = 6, step: float = 0.05, seed: int = 42
-) -> PipelineModel:
-    """Gradient-boosted trees, one ensemble for each class against the others.
+    df: DataFrame, features: Sequence[str], label: str = "label", validation: str | None = None, rounds: int = 500, depth: int = 6, step: float = 0.05, seed: int = 42, patience: int = 50
+) -> BoostedTrees:
+    """Gradient-boosted trees of all classes together.
 
-    ``validation`` names a boolean column: its rows are held out, and an ensemble stops growing once
-    a round no longer lowers their loss.  Rows without a label are left out, null features are 0.
+    ``validation`` names a boolean column: its rows are held out, and the fit ends once their loss has
+    not fallen for ``patience`` rounds.  Rows without a label are left out, null features are 0.
     """
-    parts = [F.col(validation).alias("held_out")] if validation else []
-    rows = df.filter(F.col(label).isNotNull()).select(*features, *parts, *[(F.col(label) == k).cast("double").alias(f"is_{k}") for k in CLASSES])
-    rows = rows.na.fill(0.0, list(features)).persist(StorageLevel.MEMORY_AND_DISK)  # read by each of the four fits
-    held = {"validationIndicatorCol": "held_out"} if validation else {}
-    ensembles = [
-        GBTClassifier(
-            featuresCol="features", labelCol=f"is_{k}", predictionCol=f"prediction_{k}", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, **held
-        )
-        .setProbabilityCol(f"probability_{k}")
-        .setRawPredictionCol(f"raw_{k}")
-        for k in CLASSES
-    ]
-    try:
-        return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), *ensembles]).fit(rows)
-    finally:
-        rows.unpersist()
+    return fit_boosted_trees(df, features, label, validation, BoostParams(rounds=rounds, depth=depth, step=step, seed=seed, patience=patience))
 
 
 def probabilities(model, df: DataFrame, name: str, classes: int = 4) -> DataFrame:
-    """``df`` with ``<name>_prob_0..3``; classes the model never saw get 0.
-
-    Where each class has an ensemble of its own, its probabilities are divided by their sum.
-    """
+    """``df`` with ``<name>_prob_0..3``; classes the model never saw get 0."""
+    if isinstance(model, BoostedTrees):
+        return boosted_probabilities(model, df, name)
+    if isinstance(model, RecurrentModel):
+        return recurrent_probabilities(model, df, name)
     inputs = model.stages[0].getInputCols() if isinstance(model, PipelineModel) else []
     scored = model.transform(df.na.fill(0.0, inputs) if inputs else df)
-    if len(inputs) and len(model.stages) > 2:
-        each = [vector_to_array(f"probability_{k}")[1] for k in range(classes)]
-        total = sum(each[1:], each[0])
-        return scored.select(*df.columns, *[(p / total).alias(f"{name}_prob_{k}") for k, p in enumerate(each)])
     p = vector_to_array("probability")
     return scored.select(*df.columns, *[F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)).alias(f"{name}_prob_{k}") for k in range(classes)])
 
 
-def importances(model: PipelineModel, top: int = 20) -> list[tuple[str, float]]:
-    """The ``top`` features by their share of all gains, the mean over the ensembles."""
-    trees = model.stages[1:]
-    shares = sum(m.featureImportances.toArray() for m in trees) / len(trees)
+def importances(model: BoostedTrees | PipelineModel, top: int = 20) -> list[tuple[str, float]]:
+    """The ``top`` features by their share of all gain (boosted trees), or of all impurity removed (forest)."""
+    if isinstance(model, BoostedTrees):
+        gain = model.feature_gain()
+        shares = [g / (sum(gain) or 1.0) for g in gain]
+        return sorted(zip(model.features, shares), key=lambda x: (-x[1], x[0]))[:top]
+    shares = model.stages[1].featureImportances.toArray()
     return sorted(zip(model.stages[0].getInputCols(), shares.tolist()), key=lambda x: (-x[1], x[0]))[:top]
 
 
-def rounds_kept(model: PipelineModel) -> list[int]:
-    """Trees of each class's ensemble after early stopping."""
-    return [m.getNumTrees for m in model.stages[1:]]
+def load_flat(spark: SparkSession, path: str) -> BoostedTrees | PipelineModel:
+    """The flat model saved at ``path``: boosted trees, or a pipeline of Spark ML."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/nodes")
+    boosted = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return BoostedTrees.load(spark, path) if boosted else PipelineModel.load(path)
 
 
 def flatten_sequences(df: DataFrame, column: str = "sequence") -> DataFrame:

@@ -6,8 +6,9 @@ sector-normalised features, per sector; it is saved as Parquet and joined by bro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,46 +30,64 @@ def _clip(x: Column, lo: Column, hi: Column) -> Column:
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """(feature, quantiles): exact interpolated quantiles of every column, null where it has no value.
 
-    A sketch brackets each order statistic (its rank is off by at most 1 in ``accuracy``), values below
-    the bracket are counted, and only those inside it are grouped by value and ranked: about six of
-    ``accuracy`` rows, or all rows where there are fewer than ``accuracy``.  Nulls do not count.
+    Each order statistic is bracketed by a sketch (its rank is off by at most 1 in ``accuracy``) and the
+    bracket by another, until it holds at most 10 x ``accuracy`` rows or one value; only values inside
+    brackets are grouped and ranked.  The driver gets counts and bounds by column, and the result is a
+    local table.  Nulls do not count.  ``df`` is read two to four times: write it first if it is costly.
     """
-    columns, slack = list(columns), 3 / accuracy
-    ends = [e for q in probabilities for e in (max(q - slack, 0.0), min(q + slack, 1.0))]
-    seen = df.agg(
-        *[F.struct(F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.percentile_approx(c, ends, accuracy).alias("at")).alias(c) for c in columns]
-    )
-    few = lambda c: F.col(f"{c}.n") < accuracy
-    limits = seen.select(
-        *[F.col(f"{c}.n").alias(f"__n_{c}") for c in columns],
-        *[F.when(few(c), F.col(f"{c}.least")).otherwise(F.col(f"{c}.at")[2 * i]).alias(f"__lo_{i}_{c}") for c in columns for i in range(len(probabilities))],
-        *[F.when(few(c), F.col(f"{c}.most")).otherwise(F.col(f"{c}.at")[2 * i + 1]).alias(f"__hi_{i}_{c}") for c in columns for i in range(len(probabilities))],
-    )
-    rows = df.select(*columns).crossJoin(F.broadcast(limits))  # one row
-    pairs = [(c, i) for c in columns for i in range(len(probabilities))]
-    lo, hi = (lambda c, i: F.col(f"__lo_{i}_{c}")), (lambda c, i: F.col(f"__hi_{i}_{c}"))
-    counted = rows.agg(*[F.struct(F.max(f"__n_{c}").alias("n"), F.count(F.when(F.col(c) < lo(c, i), 1)).alias("below")).alias(f"{i}_{c}") for c, i in pairs])
-    below = counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("i"), F.lit(float(probabilities[i])).alias("q"), F.col(f"{i}_{c}").alias("s")) for c, i in pairs])).alias("b"))
-    inside = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("i"), F.when(F.col(c).between(lo(c, i), hi(c, i)), F.col(c).cast("double")).alias("value")) for c, i in pairs])
-    values = rows.select(F.explode(F.filter(inside, lambda x: x["value"].isNotNull())).alias("v")).groupBy("v.feature", "v.i", "v.value").count()
-    up_to = F.sum("count").over(W.partitionBy("feature", "i").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    ranked = values.withColumn("seen", up_to).join(F.broadcast(below.select("b.feature", "b.i", "b.q", "b.s.*")), ["feature", "i"], "right")  # a row per feature and quantile
-    place = F.col("q") * (F.col("n") - 1)
-    reached = F.coalesce(F.col("seen"), F.lit(0)) + F.col("below")
-    found = ranked.groupBy("feature", "i").agg(
-        F.min(F.when(reached > F.floor(place), F.col("value"))).alias("a"), F.min(F.when(reached > F.ceil(place), F.col("value"))).alias("b"), F.first(place - F.floor(place)).alias("part")
-    )
-    each = found.select("feature", "i", F.when(F.col("part") == 0, F.col("a")).otherwise((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b")).alias("value"))
-    return each.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("quantiles"))
+    columns, limit = list(columns), 10 * accuracy
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, quantiles array<double>")
+    first = df.agg(*[F.struct(F.count(c).alias("n"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c) for c in columns]).first()
+    ranks = {(c, i): q * (first[c]["n"] - 1) for c in columns for i, q in enumerate(probabilities) if first[c]["n"]}
+    held = {p: (first[p[0]]["lo"], first[p[0]]["hi"], 0, first[p[0]]["n"]) for p in ranks}  # lo, hi, rows below, rows inside
+    inside = lambda p: F.col(p[0]).between(F.lit(held[p][0]), F.lit(held[p][1]))
+    while wide := [p for p, (lo, hi, _, n) in held.items() if n > limit and lo < hi]:
+        ends = {p: [min(1.0, max(0.0, (ranks[p] - held[p][2]) / held[p][3] + side * 3 / accuracy)) for side in (-1, 1)] for p in wide}
+        found = df.agg(*[F.percentile_approx(F.when(inside(p), F.col(p[0]).cast("double")), ends[p], accuracy).alias(f"p{k}") for k, p in enumerate(wide)]).first()
+        before = dict(held)
+        for k, p in enumerate(wide):
+            held[p] = (*found[f"p{k}"], 0, 0)
+        counts = [x for k, p in enumerate(wide) for x in (F.count(F.when(F.col(p[0]) < held[p][0], 1)).alias(f"b{k}"), F.count(F.when(inside(p), 1)).alias(f"n{k}"))]
+        found = df.agg(*counts).first()
+        for k, p in enumerate(wide):
+            held[p] = (*held[p][:2], found[f"b{k}"], found[f"n{k}"])
+        if all(held[p] == before[p] for p in wide):
+            break
+    brackets = {x: k for k, x in enumerate(dict.fromkeys((p[0], *held[p][:2]) for p in held))}
+    wanted: dict[int, set[int]] = {}
+    for p, (lo, hi, below, _) in held.items():
+        wanted.setdefault(brackets[p[0], lo, hi], set()).update((math.floor(ranks[p]) - below, math.ceil(ranks[p]) - below))
+    values: dict[tuple[int, int], float] = {}
+    if brackets:
+        each = F.array(*[F.struct(F.lit(k).alias("bracket"), F.when(F.col(c).between(F.lit(lo), F.lit(hi)), F.col(c).cast("double")).alias("value")) for (c, lo, hi), k in brackets.items()])
+        tall = df.select(F.explode(F.filter(each, lambda x: x["value"].isNotNull())).alias("v")).groupBy("v.bracket", "v.value").count()
+        places = df.sparkSession.createDataFrame([(k, sorted(v)) for k, v in wanted.items()], "bracket int, places array<long>")
+        ranked = tall.withColumn("seen", F.sum("count").over(W.partitionBy("bracket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)))
+        here = F.filter("places", lambda x: (x < F.col("seen")) & (x >= F.col("seen") - F.col("count")))
+        for r in ranked.join(F.broadcast(places), "bracket").select("bracket", "value", here.alias("at")).filter(F.size("at") > 0).collect():  # two places a quantile
+            values.update({(r["bracket"], k): r["value"] for k in r["at"]})
+
+    def quantile(p: tuple[str, int]) -> float | None:
+        if p not in held:
+            return None
+        lo, hi, below, _ = held[p]
+        a, b = (values[brackets[p[0], lo, hi], f(ranks[p]) - below] for f in (math.floor, math.ceil))
+        part = ranks[p] - math.floor(ranks[p])
+        return a if part == 0 else (1 - part) * a + part * b
+
+    rows = [(c, [quantile((c, i)) for i in range(len(probabilities))]) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, quantiles array<double>")
 
 
 @dataclass
 class FeatureScaler:
-    """Fitted state: ``parameters`` has feature, sector (null: all), lo, hi, mean, std."""
+    """Fitted state: ``parameters`` has feature, sector (null: all), lo, hi, mean, std; it is a local table, applied as literals."""
 
     parameters: DataFrame
     features: list[str]
     sector_col: str | None = None
+    _rows: list | None = field(default=None, repr=False)
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str], sector_col: str | None = None, quantile: float = 0.01) -> "FeatureScaler":
@@ -77,43 +96,42 @@ class FeatureScaler:
         All features are aggregated together; no task holds the values of a whole feature.
         """
         features = list(features)
-        tall_bounds = exact_quantiles(df, features, (quantile, 1 - quantile)).select("feature", F.col("quantiles")[0].alias("lo"), F.col("quantiles")[1].alias("hi"))
-        of = lambda c: F.max(F.when(F.col("feature") == c, F.array("lo", "hi"))).alias(c)
-        bounds = tall_bounds.agg(*[of(c) for c in features])
-        limits = df.crossJoin(F.broadcast(bounds.select(*[F.col(c).alias(f"__b_{c}") for c in features])))  # one row
-        kept = limits.select(*([sector_col] if sector_col else []), *[F.coalesce(_clip(F.col(c), F.col(f"__b_{c}")[0], F.col(f"__b_{c}")[1]), F.lit(0.0)).alias(c) for c in features])
-
-        def moments(rows: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-            found = rows.groupBy(*keys).agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).alias(c) for c in names])
-            each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("m")) for c in names])).alias("p")
-            return found.select(*(F.col(k).alias("sector") for k in keys), each).select("p.feature", *(["sector"] if keys else [F.lit(None).cast("string").alias("sector")]), "p.m.mean", "p.m.std")
-
+        bounds = {r["feature"]: r["quantiles"] for r in exact_quantiles(df, features, (quantile, 1 - quantile)).collect()}
+        filled = [F.coalesce(_clip(F.col(c), *map(F.lit, bounds[c])), F.lit(0.0)).alias(c) for c in features]
+        kept = df.select(*([sector_col] if sector_col else []), *filled)
         by_sector = [c for c in features if sector_col and c in SECTOR_FEATURES]
-        everywhere = [c for c in features if c not in by_sector]
-        parts = [moments(kept, everywhere, [])] if everywhere else []
-        parts += [moments(kept, by_sector, [sector_col])] if by_sector else []
-        both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        std = F.when(F.col("std") > 0, F.col("std")).otherwise(1.0)
-        return cls(both.withColumn("std", std).join(tall_bounds, "feature").select("feature", "sector", "lo", "hi", "mean", "std"), features, sector_col)
+        rows = []
+        for names, keys in (([c for c in features if c not in by_sector], []), (by_sector, [sector_col])):
+            if not names:
+                continue
+            for r in kept.groupBy(*keys).agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")).alias(c) for c in names]).collect():  # a row per sector
+                rows += [(c, r[sector_col] if keys else None, *bounds[c], r[c]["mean"], r[c]["std"] if (r[c]["std"] or 0) > 0 else 1.0) for c in names]
+        sector = df.schema[sector_col].dataType.simpleString() if sector_col else "string"
+        return cls(df.sparkSession.createDataFrame(rows, f"feature string, sector {sector}, lo double, hi double, mean double, std double"), features, sector_col)
+
+    def _known(self) -> list:
+        """The parameters on the driver: a row per feature and sector."""
+        if self._rows is None:
+            self._rows = self.parameters.collect()
+        return self._rows
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Clip, fill and scale the fitted features of ``df``; other columns pass through, unseen sectors get 0 and 1."""
         names = [c for c in self.features if c in df.columns]
-        p = self.parameters
-        value = lambda c, x: F.max(F.when(F.col("feature") == c, F.col(x))).alias(f"__{x}_{c}")
-        common = p.groupBy().agg(*[value(c, x) for c in names for x in ("lo", "hi")])
-        out = df.crossJoin(F.broadcast(common))  # one row
         by_sector = [c for c in names if self.sector_col and c in SECTOR_FEATURES]
-        everywhere = [c for c in names if c not in by_sector]
-        if everywhere:
-            out = out.crossJoin(F.broadcast(p.filter("sector is null").groupBy().agg(*[value(c, x) for c in everywhere for x in ("mean", "std")])))
+        known = {r["feature"]: r for r in self._known()}
+        mean, std = ({c: F.lit(known[c][x]) if c in known else F.lit(None).cast("double") for c in names} for x in ("mean", "std"))
+        out = df
         if by_sector:
-            known = p.filter("sector is not null").groupBy(F.col("sector").alias(self.sector_col)).agg(*[value(c, x) for c in by_sector for x in ("mean", "std")])
-            out = out.join(F.broadcast(known), self.sector_col, "left")  # one row per sector
+            value = lambda c, x: F.max(F.when(F.col("feature") == c, F.col(x))).alias(f"__{x}_{c}")
+            found = self.parameters.filter("sector is not null").groupBy(F.col("sector").alias(self.sector_col)).agg(*[value(c, x) for c in by_sector for x in ("mean", "std")])
+            out = out.join(F.broadcast(found), self.sector_col, "left")  # one row per sector
+            mean |= {c: F.col(f"__mean_{c}") for c in by_sector}
+            std |= {c: F.col(f"__std_{c}") for c in by_sector}
 
         def scaled(c: str) -> Column:
-            x = F.coalesce(_clip(F.col(c), F.col(f"__lo_{c}"), F.col(f"__hi_{c}")), F.lit(0.0))
-            return (x - F.coalesce(F.col(f"__mean_{c}"), F.lit(0.0))) / F.coalesce(F.col(f"__std_{c}"), F.lit(1.0))
+            lo, hi = (F.lit(known[c][x] if c in known else None).cast("double") for x in ("lo", "hi"))
+            return (F.coalesce(_clip(F.col(c), lo, hi), F.lit(0.0)) - F.coalesce(mean[c], F.lit(0.0))) / F.coalesce(std[c], F.lit(1.0))
 
         return out.select(*[scaled(c).alias(c) if c in names else F.col(c) for c in df.columns])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import div
 from ..functions.windows import by, change, latest_per_key
+from ..operators import boosting as B
 from ..operators import dataset as D
 from ..operators import fundamental as U
 from ..operators import labels as L
@@ -20,6 +21,7 @@ from ..operators import sentiment as S
 from ..operators import signals as G
 from ..operators import technical as T
 from ..sources import market as M
+from ..sources.scratch import written
 from . import training as R
 from .fundamental import STOCKS
 from .market_context import BUCKET, EVENTS, LABELS, SERIES, filing_events, insider_events, macro_all, news_events, post_events
@@ -180,9 +182,10 @@ def all_steps(spark, sf_dir):
 
 TRAIN_UNTIL = date(2000, 6, 30)
 TRAIN_FROM, HOLD_FROM = R.months_before(TRAIN_UNTIL, 36), R.months_before(TRAIN_UNTIL, R.VALIDATION_MONTHS)
-_WINDOW = f"""{LABELS}, near AS (FROM bars WHERE date BETWEEN DATE '{TRAIN_FROM}' AND DATE '{TRAIN_UNTIL}' + 150),
+_NEAR = f"""near AS (FROM bars WHERE date BETWEEN DATE '{TRAIN_FROM}' AND DATE '{TRAIN_UNTIL}' + 150),
 win AS (SELECT stock_id, date, lead(close, 63) OVER (PARTITION BY stock_id ORDER BY date) / nullif(close, 0) - 1 AS fr FROM near),
 win_labels AS (SELECT stock_id, date, fr, ({BUCKET})::INT AS label FROM win WHERE date <= DATE '{TRAIN_UNTIL}' AND fr IS NOT NULL)"""
+_WINDOW = f"{LABELS}, {_NEAR}"
 
 
 def _window_labels(spark, sf_dir) -> DataFrame:
@@ -205,23 +208,53 @@ def _train_data(spark, sf_dir) -> DataFrame:
     return R.split(D.training_set(labelled, features(spark, sf_dir)), TRAIN_FROM, TRAIN_UNTIL, HOLD_FROM)
 
 
+def _saved_train_data(spark, sf_dir) -> DataFrame:
+    """The rows that models are fitted on, written once."""
+    return written(_train_data(spark, sf_dir), "train-data")[0]
+
+
+_TALL = " UNION ALL ".join(f"SELECT label, '{c}' AS feature, coalesce({c}, 0)::DOUBLE AS x FROM train" for c in MODEL)
+
+
+@register(
+    "boosting_histogram",
+    f"""{FEATURES}, {_NEAR},
+train AS (SELECT l.label, {', '.join(MODEL)} FROM features JOIN win_labels l USING (stock_id, date) WHERE date >= DATE '{TRAIN_FROM}' AND date < DATE '{HOLD_FROM}'),
+tall AS ({_TALL}), b AS (SELECT feature, min(x) AS lo, max(x) AS hi, count(*) AS rows FROM tall GROUP BY feature),
+c AS (SELECT feature, label, rows, least(4095, greatest(0, floor((x - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 4096)))::BIGINT AS cell FROM tall JOIN b USING (feature)),
+u AS (SELECT feature, cell, rows, sum(count(*)) OVER (PARTITION BY feature ORDER BY cell) AS up_to FROM c GROUP BY feature, cell, rows),
+ends AS (SELECT DISTINCT feature, cell FROM (SELECT feature, i, min(cell) AS cell FROM u, range(1, 64) t(i) WHERE up_to * 64 >= i * rows GROUP BY feature, i)),
+numbered AS (SELECT feature, label, cell, (SELECT count(*) FROM ends e WHERE e.feature = c.feature AND e.cell < c.cell)::INT AS bin FROM c)
+SELECT k::INT AS class, feature, bin, sum(((0.25::DOUBLE - (label = k)::INT) * 1048576)::BIGINT)::BIGINT AS gradient, count(*) * 393216 AS hessian, count(*) AS n
+FROM numbered, range(4) t(k) GROUP BY ALL""",
+)
+def boosting_histogram(spark, sf_dir):
+    """Sums of gradients from which the first trees take their first splits."""
+    return B.root_histogram(_saved_train_data(spark, sf_dir).filter("not held_out"), MODEL)
+
+
+def _boosted(spark, sf_dir):
+    return R.fit_trees(_saved_train_data(spark, sf_dir), rounds=20, depth=3, patience=10)
+
+
 @register("boosted_scores")
 def boosted_scores(spark, sf_dir):
     """Probabilities of the held-out rows by boosted trees over the training rows."""
-    held = R.fit_trees(_train_data(spark, sf_dir), rounds=8, depth=4)[2]
-    return held.select("stock_id", "date", "label", *[f"xgb_prob_{k}" for k in range(4)], "predicted_class")
+    return _boosted(spark, sf_dir)[2].select("stock_id", "date", "label", *[f"xgb_prob_{k}" for k in range(4)], "predicted_class")
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
-    model = R.fit_trees(_train_data(spark, sf_dir), rounds=8, depth=4)[1]
-    return spark.createDataFrame(A.importances(model), "feature string, importance double")  # one row per feature
+    """Each feature's total gain over the nodes of the trees."""
+    return B.total_gain(_boosted(spark, sf_dir)[1], spark)
 
 
 @register("sequence_scores")
 def sequence_scores(spark, sf_dir):
-    """Probabilities of the held-out sequences by the perceptron, over the five step columns that have SQL."""
-    held = R.fit_steps(_steps(spark, sf_dir), _window_labels(spark, sf_dir).select("stock_id", "date", "label"), TRAIN_FROM, TRAIN_UNTIL, HOLD_FROM, rounds=10)[2]
+    """Probabilities of the held-out sequences by the recurrent network, over the five step columns that have SQL."""
+    frame = written(_steps(spark, sf_dir), "step-frame")[0]
+    labelled = written(_window_labels(spark, sf_dir).select("stock_id", "date", "label"), "window-labels")[0]
+    held = R.fit_steps(frame, labelled, TRAIN_FROM, TRAIN_UNTIL, HOLD_FROM, A.RecurrentParams(hidden=24, layers=2, epochs=5, rate=3e-3))[2]
     return held.select("stock_id", "date", "label", *[f"lstm_prob_{k}" for k in range(4)], "predicted_class")
 
 

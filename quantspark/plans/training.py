@@ -1,7 +1,7 @@
 """The training run: labelled features, a split by date, fitted scaler and models, saved by version.
 
 Below the store's ``models`` folder a version has ``<version>`` (boosted trees), ``<version>_scaler``,
-``<version>_sequences`` (perceptron) and ``<version>_steps`` (the scaler of sequence columns).
+``<version>_sequences`` (recurrent network) and ``<version>_steps`` (the scaler of sequence columns).
 """
 
 from __future__ import annotations
@@ -38,12 +38,15 @@ def model_columns(df: DataFrame) -> list[str]:
     return [c for c in (*D.TECHNICAL, *D.SENTIMENT, *D.MACRO, *D.FUNDAMENTAL) if c in df.columns]
 
 
-def fit_trees(data: DataFrame, rounds: int, depth: int = 6):
-    """Scaler fitted on the training part, boosted trees, and the scored held-out part of ``split`` rows."""
+def fit_trees(data: DataFrame, rounds: int, depth: int = 6, patience: int = 50):
+    """Scaler fitted on the training part, boosted trees, and the scored held-out part of ``split`` rows.
+
+    The rows are read several times: pass a written table.
+    """
     names = model_columns(data)
     scaler = P.FeatureScaler.fit(data.filter(~F.col("held_out")), names)
     scaled = scaler.transform(data)
-    model = models.fit_boosted(scaled, names, validation="held_out", rounds=rounds, depth=depth)
+    model = models.fit_boosted(scaled, names, validation="held_out", rounds=rounds, depth=depth, patience=patience)
     held = models.probabilities(model, scaled.filter("held_out"), "xgb")
     return scaler, model, held.withColumn("predicted_class", models.most_likely("xgb"))
 
@@ -53,24 +56,26 @@ def filled_steps(frame: DataFrame) -> DataFrame:
     return frame.withColumns({c: fill_both_ways(c, by("stock_id")) for c in D.SEQUENCE if c in frame.columns})
 
 
-def fit_steps(frame: DataFrame, labelled: DataFrame, start: dt.date, end: dt.date, validation_start: dt.date, rounds: int = 50, steps: int = D.STEPS):
-    """Scaler of the steps, perceptron on scaled sequences, and the scored held-out sequences.
+def fit_steps(frame: DataFrame, labelled: DataFrame, start: dt.date, end: dt.date, validation_start: dt.date, params: models.RecurrentParams = models.RecurrentParams(), steps: int = D.STEPS):
+    """Scaler of the steps, recurrent network on scaled sequences, and the scored held-out sequences.
 
     ``labelled`` has stock_id, date, label; sequences reach back before ``start``, the scaler does not.
+    ``frame`` is read several times: pass a written table.
     """
     names = [c for c in D.SEQUENCE if c in frame.columns]
     frame = filled_steps(frame)
     scaler = P.FeatureScaler.fit(frame.filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(validation_start))), names)
     rows = D.sequences(scaler.transform(frame), names, steps).join(labelled.filter("label is not null"), ["stock_id", "date"])
     data = split(rows, start, end, validation_start)
-    net = models.fit_sequences(data.filter(~F.col("held_out")), steps * len(names), rounds=rounds)
-    held = models.probabilities(net, models.flatten_sequences(data.filter("held_out")), "lstm").drop("features")
+    net = models.fit_recurrent(data, ["stock_id", "date"], held_out="held_out", params=params)
+    held = models.probabilities(net, data.filter("held_out"), "lstm")
     return scaler, net, held.withColumn("predicted_class", models.most_likely("lstm"))
 
 
 def train(
-    spark: SparkSession, tables: str, store: str, cutoff: dt.date, version: str, train_months: int = 36, skip_sequences: bool = False, tickers: list[str] | None = None, dry_run: bool = False, rounds: int = 500
-) -> DataFrame:
+    spark: SparkSession, tables: str, store: str, cutoff: dt.date, version: str, train_months: int = 36, skip_sequences: bool = False, tickers: list[str] | None = None, dry_run: bool = False, rounds: int = 500,
+    recurrent: models.RecurrentParams = models.RecurrentParams(),
+) -> DataFrame:
     """Fit and save the models of one version; returns the run's record, which is also appended to ``model_runs``.
 
     The last VALIDATION_MONTHS of the window are held out for early stopping and accuracy.  A dry run
@@ -102,18 +107,18 @@ def train(
         if low:
             log.warning("mostly null: %s", " ".join(low))
         scaler, model, held = fit_trees(data, rounds)
-        kept, accuracy, loss = models.rounds_kept(model), models.accuracy(held), models.log_loss(held, "xgb")
+        kept, accuracy, loss = [model.best_round], models.accuracy(held), models.log_loss(held, "xgb")
         top = [name for name, _ in models.importances(model, 10)]
-        model.write().overwrite().save(home)
+        model.save(spark, home)
         scaler.save(f"{home}_scaler")
         if not skip_sequences:
             frame = all_steps(spark, tables)
             if tickers:
                 frame = frame.join(stocks.select("stock_id"), "stock_id", "left_semi")
             frame.write.mode("overwrite").parquet(f"{home}_frame")
-            step_scaler, net, held = fit_steps(spark.read.parquet(f"{home}_frame"), labelled, start, cutoff, validation_start)
+            step_scaler, net, held = fit_steps(spark.read.parquet(f"{home}_frame"), labelled, start, cutoff, validation_start, recurrent)
             sequence_accuracy = models.accuracy(held)
-            net.write().overwrite().save(f"{home}_sequences")
+            net.save(spark, f"{home}_sequences")
             step_scaler.save(f"{home}_steps")
     record = (version, cutoff, start, validation_start, dt.datetime.now(), sizes.get(False, 0), sizes.get(True, 0), kept, accuracy, loss, sequence_accuracy, folds, top)
     run = spark.createDataFrame([record], TABLES["model_runs"])

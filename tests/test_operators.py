@@ -175,24 +175,6 @@ def test_wide_datasets_carry_every_feature(spark, smallest):
             assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-5))
 
 
-def test_boosted_trees_learn_and_stop(spark, tmp_path):
-    from pyspark.ml import PipelineModel
-
-    rng = np.random.default_rng(3)
-    rows = [(float(x), float(y), int(2 * (x > 0) + (y > 0)), bool(i % 4 == 0)) for i, (x, y) in enumerate(rng.normal(size=(400, 2)))]
-    df = spark.createDataFrame(rows + [(None, 0.0, None, False)], "a double, b double, label int, held_out boolean")
-    model = models.fit_boosted(df, ["a", "b"], validation="held_out", rounds=6, depth=3, step=0.3)
-    assert len(models.rounds_kept(model)) == 4 and max(models.rounds_kept(model)) <= 6
-    model.write().overwrite().save(str(tmp_path / "boosted"))
-    held = models.probabilities(PipelineModel.load(str(tmp_path / "boosted")), df.filter("held_out"), "xgb").withColumn("predicted_class", models.most_likely("xgb"))
-    assert models.accuracy(held) > 0.9
-    for r in held.collect():
-        assert sum(r[f"xgb_prob_{k}"] for k in range(4)) == pytest.approx(1)
-    want = np.mean([-np.log(r[f"xgb_prob_{r.label}"]) for r in held.collect()])
-    assert models.log_loss(held, "xgb") == pytest.approx(want)
-    assert [n for n, _ in models.importances(model, 1)][0] in ("a", "b") and sum(x for _, x in models.importances(model)) == pytest.approx(1)
-
-
 def test_trading_day_offset(spark):
     from quantspark.operators import labels as L
 
@@ -201,6 +183,20 @@ def test_trading_day_offset(spark):
     assert tuple(got) == (dt.date(2024, 5, 4), dt.date(2024, 1, 24), dt.date(2024, 1, 31))
 
 
+def test_scaler_parameters_are_local_and_survive_saving(spark, tmp_path):
+    rows = [(float(i), float(i % 7) if i % 5 else None, "xy"[i % 2], None) for i in range(200)]
+    df = spark.createDataFrame(rows, "rsi_14 double, pe_ratio double, sector string, atr_14 double")
+    scaler = P.FeatureScaler.fit(df, ["rsi_14", "pe_ratio", "atr_14"], "sector")
+    scaled = scaler.transform(df)
+    scaler.save(str(tmp_path / "scaler"))
+    assert sorted(map(str, P.FeatureScaler.load(spark, str(tmp_path / "scaler")).transform(df).collect())) == sorted(map(str, scaled.collect()))
+    pe = np.array([r[1] if r[1] is not None else 0.0 for r in rows])
+    x = [r.pe_ratio for r in scaled.filter("sector = 'x'").collect()]
+    assert sorted(x) == pytest.approx(sorted((pe[::2] - pe[::2].mean()) / pe[::2].std(ddof=1)))
+    assert {r.atr_14 for r in scaled.collect()} == {0.0}
+    assert "Exchange" not in scaled.select("rsi_14")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_quantiles_in_brackets_equal_numpy(spark):
     rng = np.random.default_rng(4)
     a, b = rng.lognormal(size=30_000), np.where(rng.random(30_000) < 0.4, 7.0, rng.normal(size=30_000))
