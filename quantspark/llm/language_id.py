@@ -42,7 +42,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(1)  # stands for the end of a word; its start is 0
 #: Code points that a task works on at a time.
 CHUNK = 1 << 20
-GROUP = 1 << 24
+GROUP = 1 << 22
 #: Score of a language whose script a word is not written in.
 IMPOSSIBLE = np.float32(-1e4)
 
@@ -295,8 +295,11 @@ def language_labels(spark, model: LanguageModel, switch: float = 8.0, spans: boo
                 none = pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
                 yield none.assign(spans=[[] for _ in texts]) if spans else none
                 continue
+            order = np.argsort([-len(t) for t in texts], kind="stable")  # texts of like length share their steps
+            texts = [texts[i] for i in order]
             parts = [_label(texts[a:b], sent.value, switch, spans) for a, b in _groups(texts, GROUP)]
-            yield pd.concat(parts, ignore_index=True)
+            if parts:
+                yield pd.concat(parts, ignore_index=True).set_index(order).sort_index()
 
     return lambda text_col="text": label(text_or_empty(text_col))
 
