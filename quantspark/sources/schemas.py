@@ -61,3 +61,14 @@ KEYS: dict[str, list[str]] = {
     "backtest_results": ["run_id", "date"],
     "schema_version": ["version"],
 }
+
+#: The column whose days tell the parts of a table apart; it is one of the table's keys.
+DAYS: dict[str, str] = {
+    "daily_prices": "date",
+    "fundamental_features": "date",
+    "technical_features": "date",
+    "macro_features": "date",
+    "sentiment_features": "date",
+    "predictions": "prediction_date",
+    "backtest_results": "date",
+}
