@@ -519,6 +519,52 @@ def skew_kurt(spark, sf_dir):
     return found.select("stock_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "skew", "kurt")])
 
 
+_LOG_RETURNS = f"r AS (SELECT stock_id, x FROM (SELECT stock_id, ln(close / nullif({lagged('close', 1)}, 0)) AS x FROM bars) WHERE x IS NOT NULL)"
+
+
+def _log_returns(spark, sf_dir) -> DataFrame:
+    return M.bars(spark, sf_dir).select("stock_id", F.ln(div("close", F.lag("close").over(by("stock_id")))).alias("x")).filter("x is not null")
+
+
+@register(
+    "return_histogram",
+    f"""WITH {BARS}, {_LOG_RETURNS},
+e AS (SELECT stock_id, min(x) AS least, max(x) AS most, avg(x) AS mean, stddev_samp(x) AS std, count(*) AS n_all, (max(x) - min(x)) / 100 AS width FROM r GROUP BY 1),
+b AS (SELECT stock_id, least(99, greatest(0, coalesce(floor((x - least) / nullif(most - least, 0) * 100), 0)))::INT AS bin, least, mean, std, n_all, width, count(*) AS n FROM r JOIN e USING (stock_id) GROUP BY ALL),
+c AS (SELECT *, least + bin * width AS low, least + (bin + 1) * width AS high FROM b), d AS (SELECT *, ((low + high) / 2 - mean) / nullif(std, 0) AS z FROM c)
+SELECT stock_id, bin, {r6('low')} AS low, {r6('high')} AS high, n, {r6('n / nullif(n_all * width, 0)')} AS density, {r6('exp(-z * z / 2) / (std * sqrt(2 * pi()))')} AS normal FROM d""",
+)
+def return_histogram(spark, sf_dir):
+    found = Q.histogram(_log_returns(spark, sf_dir), "stock_id", "x")
+    return found.select("stock_id", "bin", "n", *[F.round(c, 6).alias(c) for c in ("low", "high", "density", "normal")])
+
+
+def _polynomial(coefficients, x: str) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _tail(q: str) -> str:
+    x = f"sqrt(-2 * ln({q}))"
+    return f"{_polynomial(Q._C, x)} / {_polynomial(Q._D, x)}"
+
+
+@register(
+    "quantile_plot",
+    f"""WITH {BARS}, {_LOG_RETURNS}, k AS (SELECT stock_id, x, row_number() OVER (PARTITION BY stock_id ORDER BY x)::INT AS rank, count(*) OVER (PARTITION BY stock_id) AS n FROM r),
+p AS (SELECT *, CASE WHEN rank = n THEN pow(0.5::DOUBLE, 1 / n) WHEN rank = 1 THEN 1 - pow(0.5::DOUBLE, 1 / n) ELSE (rank - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM k),
+h AS (SELECT *, (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS m FROM p),
+t AS (SELECT stock_id, rank, x, CASE WHEN p < {Q._TAIL} THEN {_tail('p')} WHEN p > 1 - {Q._TAIL}::DOUBLE THEN -{_tail('(1 - p)')} ELSE {_polynomial(Q._A, 'm')} * (p - 0.5::DOUBLE) / {_polynomial(Q._B, 'm')} END AS z FROM h),
+l AS (SELECT stock_id, regr_slope(x, z) AS slope, regr_intercept(x, z) AS icept FROM t GROUP BY 1)
+SELECT stock_id, rank, {r6('z')} AS theoretical, {r6('x')} AS sample, {r6('slope * z + icept')} AS fitted FROM t JOIN l USING (stock_id)""",
+)
+def quantile_plot(spark, sf_dir):
+    found = Q.quantile_plot(_log_returns(spark, sf_dir), "stock_id", "x")
+    return found.select("stock_id", "rank", *[F.round(c, 6).alias(c) for c in ("theoretical", "sample", "fitted")])
+
+
 @register(
     "rolling_volatility",
     f"""WITH {BARS}, r AS (SELECT stock_id, date, ln(close / nullif({lagged('close', 1)}, 0)) AS r FROM bars), v AS (SELECT stock_id, date, {full('stddev_samp', 'r', 20)} * sqrt(252) AS v FROM r)

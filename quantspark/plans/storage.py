@@ -8,6 +8,7 @@ from ..functions.windows import by, change
 from ..operators import quality as Q
 from ..operators import sentiment as S
 from ..operators import signals as G
+from ..operators import textscore as X
 from ..sources import feeds, store
 from ..sources import market as M
 from .modelling import SIGNALS, _signals
@@ -96,3 +97,40 @@ SELECT conv_id, turn, {r6('s / sqrt(s * s + 15)')} AS compound FROM w""",
 )
 def compound_score(spark, sf_dir):
     return M.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(S.compound_score(F.col("text")), 6).alias("compound"))
+
+
+def _values(pairs) -> str:
+    return ", ".join(f"('{w.replace(chr(39), chr(39) * 2)}', {v}::DOUBLE)" for w, v in pairs)
+
+
+def _rule(k: int, before: str) -> str:
+    """The worth after the rules about the k-th word before, in terms of the worth ``before`` them."""
+    caps = f"CASE WHEN mixed AND regexp_matches(p{k}, '{X.CAPS}') THEN sign(valence) * {X.CAPITALS}::DOUBLE ELSE 0 END"
+    boost = f"CASE WHEN b{k}.worth IS NULL THEN 0 ELSE b{k}.worth * sign(valence) + {caps} END"
+    return f"({before} + {boost} * {X.BY_DISTANCE[k - 1]}::DOUBLE) * CASE WHEN n{k}.word IS NOT NULL THEN {X.NEGATE}::DOUBLE ELSE 1 END"
+
+
+_WORTH = f"valence + CASE WHEN mixed AND regexp_matches(y.word, '{X.CAPS}') THEN sign(valence) * {X.CAPITALS}::DOUBLE ELSE 0 END"
+for _k in (1, 2, 3):
+    _WORTH = _rule(_k, f"({_WORTH})")
+
+
+@register(
+    "text_scores",
+    f"""WITH lex(lower, valence) AS (VALUES {_values(X.LEXICON.items())}), boosters(word, worth) AS (VALUES {_values(X.BOOSTERS.items())}),
+negations(word) AS (VALUES {', '.join("('" + w.replace("'", "''") + "')" for w in X.NEGATIONS)}),
+t AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(text, '') AS text FROM conversations),
+w0 AS (SELECT id, list_filter(list_transform(regexp_split_to_array(text, '{X.SPACE}'), lambda x: regexp_replace(x, '{X.EDGES.replace("'", "''")}', '', 'g')), lambda x: x <> '') AS w FROM t),
+w1 AS (SELECT id, w, coalesce(list_position(list_transform(w, lambda x: lower(x)), 'but'), 0) AS but, len(list_filter(w, lambda x: NOT regexp_matches(x, '{X.CAPS}'))) > 0 AS mixed FROM w0),
+x AS (SELECT id, but, mixed, w, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM w1),
+y AS (SELECT x.*, valence, coalesce(w[nullif(place - 1, 0)], '') AS p1, CASE WHEN place > 2 THEN w[place - 2] ELSE '' END AS p2, CASE WHEN place > 3 THEN w[place - 3] ELSE '' END AS p3 FROM x JOIN lex ON lex.lower = lower(word)),
+z AS (SELECT id, ({_WORTH}) * CASE WHEN but > 0 AND place < but THEN {X.BEFORE_BUT}::DOUBLE WHEN but > 0 AND place > but THEN {X.AFTER_BUT}::DOUBLE ELSE 1 END AS worth FROM y
+  {' '.join(f"LEFT JOIN boosters b{k} ON b{k}.word = lower(p{k}) LEFT JOIN negations n{k} ON n{k}.word = lower(p{k})" for k in (1, 2, 3))}),
+s0 AS (SELECT id, sum(worth) AS s FROM z GROUP BY id),
+m AS (SELECT *, len(text) - len(replace(text, '!', '')) AS e, len(text) - len(replace(text, '?', '')) AS q FROM t),
+s AS (SELECT conv_id, turn, s + sign(s) * (least({X.MOST_EXCLAIM}, e) * {X.EXCLAIM}::DOUBLE + CASE WHEN q > 3 THEN {X.MOST_QUESTION}::DOUBLE WHEN q > 1 THEN q * {X.QUESTION}::DOUBLE ELSE 0 END) AS s FROM m LEFT JOIN s0 USING (id))
+SELECT conv_id, turn, {r6(f'coalesce(s / sqrt(s * s + {X.NORMAL}::DOUBLE), 0)')} AS compound FROM s""",
+)
+def text_scores(spark, sf_dir):
+    rows = M.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return X.score_texts(rows, F.col("text")).select("conv_id", "turn", F.round("compound", 6).alias("compound"))

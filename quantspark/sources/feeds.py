@@ -125,22 +125,24 @@ def news_rows(entries: DataFrame, as_of, days_back: int = 30, per_feed: int = 30
 
     ``entries`` has stock_id, feed, position, title, summary, published, updated, created.
     """
-    from ..operators.sentiment import compound_score
+    from ..operators.textscore import score_texts
 
     first = W.partitionBy("stock_id", "feed").orderBy("position")
     at = feed_time("published", "updated", "created")
     rows = entries.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_feed).withColumn("day", F.to_date(at))
     rows = rows.filter(F.col("day").isNull() | (F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days_back)))
-    return rows.select("stock_id", "day", "title", F.col("feed").alias("source"), compound_score(F.concat_ws(" ", "title", "summary")).alias("sentiment"))
+    scored = score_texts(rows, F.concat_ws(" ", "title", "summary"), "sentiment")
+    return scored.select("stock_id", "day", "title", F.col("feed").alias("source"), "sentiment")
 
 
-def post_rows(posts: DataFrame, per_board: int = 200) -> DataFrame:
-    """Posts: stock_id, day, score, comments, compound, board; at most ``per_board`` of each search."""
-    from ..operators.sentiment import compound_score
+def post_rows(posts: DataFrame, per_board: int = 200, as_of=None, days_back: int = 30) -> DataFrame:
+    """Posts: stock_id, day, score, comments, compound, board; at most ``per_board`` of each search, and with ``as_of`` none older than ``days_back`` days."""
+    from ..operators.textscore import score_texts
 
     newest = W.partitionBy("stock_id", "subreddit").orderBy(F.desc("created_utc"), "title")
+    if as_of is not None:
+        posts = posts.filter(F.to_date(F.timestamp_seconds("created_utc")) >= F.date_sub(F.lit(as_of).cast("date"), days_back))
     rows = posts.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= per_board)
-    text = F.concat_ws(" ", "title", "selftext")
-    return rows.select(
-        "stock_id", F.to_date(F.timestamp_seconds("created_utc")).alias("day"), F.col("score").cast("double").alias("score"), F.col("num_comments").cast("double").alias("comments"), compound_score(text).alias("compound"), F.col("subreddit").alias("board")
+    return score_texts(rows, F.concat_ws(" ", "title", "selftext")).select(
+        "stock_id", F.to_date(F.timestamp_seconds("created_utc")).alias("day"), F.col("score").cast("double").alias("score"), F.col("num_comments").cast("double").alias("comments"), "compound", F.col("subreddit").alias("board")
     )
