@@ -7,8 +7,9 @@ Model: every word has a class, as output and as context.  The end token and the
 have one each; all other words of the corpus, seen or not, are classed by their last two bytes (the
 endings with most tokens, and one class for what is left).  A class is predicted from the two tokens before it: their vectors, each
 weighted per position and dimension, are added and multiplied with the vector of each class, plus a
-bias.  It is trained in numpy over all training documents with noise-contrastive estimation: tasks
-start from the same parameters, train on their rows, and the results are averaged by tokens.
+bias.  It is trained in numpy over all training documents with noise-contrastive estimation: the
+nearer context first, on the counts of all pairs of classes; then both, by learners that go over the
+text in rounds and are averaged, by tokens, after each.
 
 Scores are normalised: batched matrix products give the normaliser of every pair of context
 classes, so a token's log-probability is its score less a looked-up normaliser.  A word that shares
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried_id, id_crc32_mod, materialize, restored_id, text_or_empty
+from .common import _delete, carried_id, id_crc32_mod, materialize, restored_id, shared_dir, text_or_empty
 
 LONGEST_KNOWN = 64
 ENDING = 2  # bytes
@@ -115,6 +116,17 @@ class NoiseContrastive:
         self.rng = np.random.default_rng(seed)
         self.seen = [np.full_like(x, 1e-2) for x in vars(model).values()]
 
+    @classmethod
+    def resumed(cls, state: np.ndarray, noise: np.ndarray, dims: int, samples: int, rate: float, seed: int) -> "NoiseContrastive":
+        """Training that goes on from a state: parameters, then the squared gradients seen so far."""
+        of = lambda x: LogBilinear.of(x.copy(), len(noise), dims)
+        fit = cls(of(state[0]), noise, samples, rate, seed)
+        fit.seen = list(vars(of(state[1])).values())
+        return fit
+
+    def state(self) -> np.ndarray:
+        return np.stack([self.model.flat(), np.concatenate([x.ravel() for x in self.seen])])
+
     def step(self, far: np.ndarray, near: np.ndarray, word: np.ndarray) -> None:
         m, k, n = self.model, self.samples, len(word)
         drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(k) * self.cumulative[-1]), len(self.cumulative) - 1)
@@ -191,57 +203,125 @@ def _contexts(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return far, near
 
 
-def train_model(training: DataFrame, vocabulary, prior: np.ndarray, dims: int, samples: int, rate: float, batch: int, merge: int) -> LogBilinear:
-    """NCE over all rows of ``training`` (text).  ``merge`` tasks average the results before the driver does."""
-    start = LogBilinear.start(prior, dims)
-    size = len(start.flat())
+def encode(training: DataFrame, vocabulary, learners: int, rounds: int) -> tuple[DataFrame, str]:
+    """Class sequences of all rows of ``training``, written: ``classes`` (two bytes a token), by ``round`` and ``learner``.
 
-    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    Rows are dealt evenly whatever they are, so no document, however often repeated, fills one learner.
+    """
 
-        task = TaskContext.get().partitionId()
+    def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
-        model = LogBilinear.of(start.flat(), len(prior), dims)
-        fit = NoiseContrastive(model, prior, samples, rate, seed=task)
-        held: list[tuple] = []
-        waiting = tokens = 0
-
-        def flush(least: int) -> None:
-            nonlocal held, waiting
-            if waiting < max(1, least):
-                return
-            far, near, word = (np.concatenate(x) for x in zip(*held))
-            whole = waiting if least <= 1 else waiting - waiting % batch
-            for lo in range(0, whole, batch):
-                fit.step(far[lo : lo + batch], near[lo : lo + batch], word[lo : lo + batch])
-            held, waiting = ([(far[whole:], near[whole:], word[whole:])], waiting - whole) if whole < waiting else ([], 0)
+        for pdf in batches:
+            split = [_words(t) for t in pdf["text"]]
+            yield pd.DataFrame({"classes": [v.classed(w, v.numbers(w)).astype("<u2").tobytes() for w in split]})
+
+    dealt = training.mapInPandas(classed, "classes binary").repartition(learners * rounds)
+    place = F.spark_partition_id()
+    path = shared_dir(training.sparkSession, "lm-classes")
+    dealt.withColumns({"round": F.pmod(place, F.lit(rounds)), "learner": F.pmod(F.floor(place / rounds), F.lit(learners)).cast("int")}).write.partitionBy("round", "learner").parquet(path)
+    return training.sparkSession.read.schema("classes binary, round int, learner int").parquet(path), path
+
+
+def pair_counts(encoded: DataFrame, classes: int) -> np.ndarray:
+    """How often each class follows each other one, over all of ``encoded``; ``classes`` squared sums reach the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(classes * classes, np.int64)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1024):
+                seqs = [np.frombuffer(x, "<u2").astype(np.int64) for x in pdf["classes"].iloc[lo : lo + 1024]]
+                total += np.bincount(np.concatenate([_contexts(q)[1] * classes + q for q in seqs]), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"pair": used, "n": total[used]})
+
+    found = encoded.select("classes").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(classes * classes)
+    out[found["pair"].to_numpy()] = found["n"]
+    return out.reshape(classes, classes)
 
+
+def fit_pairs(model: LogBilinear, pairs: np.ndarray, noise: np.ndarray, samples: int = 200, turns: int = 240, rate: float = 0.03, decay: float = 2.0) -> None:
+    """Noise-contrastive estimation of the nearer context over all pairs at once, by exact expectations instead of drawn noise.
+
+    A pair's score gains its count times log P(data) and ``samples`` noise pairs' times log P(noise).
+    ``decay`` pulls vectors towards 0 as if by so many tokens.  Steps are Adam's with a falling rate.
+    """
+    tokens = max(1.0, pairs.sum())
+    data = (pairs / tokens).astype(np.float32)
+    drawn = (samples * data.sum(axis=1, keepdims=True) * noise).astype(np.float32)
+    offset = (np.log(noise) + math.log(samples)).astype(np.float32)
+    params = (model.context, model.target, model.bias)
+    first, second = ([np.zeros_like(x) for x in params] for _ in range(2))
+    for turn in range(1, turns + 1):
+        g = (data + drawn) * _sigmoid(model.context @ model.target.T + (model.bias - offset)) - data
+        grads = (g @ model.target + decay / tokens * model.context, g.T @ model.context + decay / tokens * model.target, g.sum(axis=0))
+        for x, m, v, d in zip(params, first, second, grads):
+            m += 0.1 * (d - m)
+            v += 0.01 * (d * d - v)
+            x -= rate * (1 - turn / (turns + 1)) * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-9)
+
+
+def train_model(training: DataFrame, tokens: int, vocabulary, prior: np.ndarray, dims: int, samples: int, rate: float, batch: int, merge: int, slice_tokens: int = 250_000, most_learners: int = 256, most_rounds: int = 24) -> LogBilinear:
+    """NCE over all rows of ``training`` (text), which have ``tokens`` tokens.
+
+    First the nearer context is fitted to the counts of all class pairs.  Then learners go over the
+    text in rounds: in each, all start from the same state (parameters and step sizes), train on their
+    slice, and the states are averaged by tokens.  The tokens set how many learners and rounds there
+    are, not the input's partitions: a learner has at least ``slice_tokens`` a round, and 8 rounds or
+    more.  ``merge`` tasks average before the driver does.
+    """
+    classes = len(prior)
+    start = LogBilinear.start(prior, dims)
+    if not tokens:
+        return start
+    slices = -(-tokens // slice_tokens)
+    learners = max(1, min(most_learners, slices // 8))
+    rounds = min(most_rounds, -(-slices // learners))
+    encoded, path = encode(training, vocabulary, learners, rounds)
+    fit_pairs(start, pair_counts(encoded, classes), prior)
+    start.mix[0] = 0.1
+    state = np.stack([start.flat(), np.full_like(start.flat(), 1e-2)])
+    for turn in range(rounds):
+        state = _round(encoded.filter(F.col("round") == turn), state, turn, prior, dims, samples, rate, batch, merge)
+    _delete(training.sparkSession, path)
+    return LogBilinear.of(state[0], classes, dims)
+
+
+def _round(slices: DataFrame, state: np.ndarray, turn: int, prior: np.ndarray, dims: int, samples: int, rate: float, batch: int, merge: int) -> np.ndarray:
+    """All learners' training on their slices of a round, and the mean of their states, weighted by tokens."""
+    sent = slices.sparkSession.sparkContext.broadcast(state)  # twice the parameters, whatever the input
+    shape = state.shape
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fits: dict[int, tuple[NoiseContrastive, list]] = {}
         for pdf in batches:
-            for text in pdf["text"]:
-                words = _words(text)
-                seq = v.classed(words, v.numbers(words))
-                held.append((*_contexts(seq), seq))
-                waiting += len(seq)
-                tokens += len(seq)
-                flush(16 * batch)
-        flush(1)
-        if tokens:
-            yield pd.DataFrame({"task": [task], "tokens": [tokens], "flat": [fit.model.flat().astype("<f4").tobytes()]})
+            for learner, packed in pdf.groupby("learner")["classes"]:
+                fit, done = fits.get(learner) or fits.setdefault(int(learner), (NoiseContrastive.resumed(sent.value, prior, dims, samples, rate, seed=turn * 1_000_003 + int(learner)), [0]))
+                packed = list(packed)
+                for lo in range(0, len(packed), 256):
+                    seqs = [np.frombuffer(x, "<u2").astype(np.int32) for x in packed[lo : lo + 256]]
+                    pairs = [_contexts(q) for q in seqs]
+                    far, near, word = (np.concatenate(x) for x in ([p[0] for p in pairs], [p[1] for p in pairs], seqs))
+                    order = fit.rng.permutation(len(word))
+                    for at in np.array_split(order, max(1, round(len(order) / batch))):
+                        fit.step(far[at], near[at], word[at])
+                    done[0] += len(word)
+        for learner, (fit, done) in fits.items():
+            yield pd.DataFrame({"learner": [learner], "tokens": [done[0]], "state": [fit.state().astype("<f4").tobytes()]})
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size)
-        for n, x in zip(pdf["tokens"], pdf["flat"]):
-            total += n * np.frombuffer(x, "<f4")
+        pdf = pdf.sort_values(["learner", "tokens"], kind="stable")
+        total = sum(n * np.frombuffer(x, "<f4").astype(float) for n, x in zip(pdf["tokens"], pdf["state"]))
         n = int(pdf["tokens"].sum())
-        return pd.DataFrame({"tokens": [n], "flat": [(total / n).astype("<f4").tobytes()]})
+        return pd.DataFrame({"tokens": [n], "state": [(total / n).astype("<f4").tobytes()]})
 
-    trained = training.mapInPandas(train, "task int, tokens long, flat binary")
-    merged = trained.groupBy(F.pmod("task", F.lit(merge)).alias("group")).applyInPandas(average, "tokens long, flat binary")
-    total, seen = np.zeros(size), 0
-    for r in merged.collect():  # at most ``merge`` rows of fixed size
-        total += r["tokens"] * np.frombuffer(r["flat"], "<f4")
-        seen += r["tokens"]
-    return LogBilinear.of(total / seen, len(prior), dims) if seen else start
+    trained = slices.mapInPandas(train, "learner int, tokens long, state binary")
+    merged = trained.groupBy(F.pmod("learner", F.lit(merge)).alias("group")).applyInPandas(average, "tokens long, state binary").collect()  # at most ``merge`` rows of fixed size
+    sent.unpersist()
+    if not merged:
+        return state
+    total = sum(r["tokens"] * np.frombuffer(r["state"], "<f4").astype(float) for r in merged)
+    return (total / sum(r["tokens"] for r in merged)).astype(np.float32).reshape(shape)
 
 
 def _most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
@@ -268,9 +348,9 @@ def score_language(
     docs: DataFrame,
     known_words: int = 200_000,
     classes: int = 768,
-    dims: int = 16,
+    dims: int = 32,
     samples: int = 24,
-    rate: float = 0.2,
+    rate: float = 0.05,
     batch: int = 1024,
     merge: int = 16,
     id_col: str = "doc_id",
@@ -297,7 +377,7 @@ def score_language(
     prior = v.tokens + 0.5
     prior[0] += ends
     prior /= prior.sum()
-    model = train_model(training, vocabulary, prior, dims, samples, rate, batch, merge)
+    model = train_model(training, tokens, vocabulary, prior, dims, samples, rate, batch, merge)
     sent = spark.sparkContext.broadcast((model, model.normalisers()))
 
     base_total = math.log10(tokens + 0.5 * (kinds + 1))

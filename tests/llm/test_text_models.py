@@ -101,10 +101,65 @@ def test_words_of_a_class_and_one_unknown_share_it(classes):
         assert sum(mass) == pytest.approx(1)
 
 
-def test_language_model_beats_counts_on_held_out_documents(spark):
+def test_language_model_beats_counts_alike_in_any_layout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = L.score_language(docs).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
-    assert got["sum(score)"] > got["sum(base_score)"] * 0.98
+    gains = []
+    for parts in (1, 40):
+        got = L.score_language(docs.repartition(parts, "doc_id")).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+        gains.append(1 - got["sum(score)"] / got["sum(base_score)"])
+    assert min(gains) > 0.09 and abs(gains[0] - gains[1]) < 0.01
+
+
+def test_scores_equal_a_plain_loop(spark, monkeypatch):
+    seen = {}
+
+    def fixed(training, tokens, vocabulary, prior, dims, *rest):
+        model = L.LogBilinear.start(prior, dims, seed=3)
+        model.context *= 10
+        model.mix[0] = 0.5
+        seen.update(v=vocabulary.value, model=model, tokens=tokens)
+        return model
+
+    monkeypatch.setattr(L, "train_model", fixed)
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 23}{'ab'[k % 2]}" for k in range(i % 9)) + (" Odd" if i % 6 == 0 else "")) for i in range(120)]
+    got = L.score_language(spark.createDataFrame(rows, "doc_id long, text string"), known_words=9, classes=9, dims=3).collect()
+    v, m = seen["v"], seen["model"]
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.encode().lower().split())
+    alone = {w for w, k in v.number.items() if k < v.alone}
+    class_of = lambda w: int(v.class_of[v.number[w]]) if w in v.number else v.ending.get(w[-2:], 1)
+    kinds = Counter(class_of(w) for w in counts if w not in alone)
+    inside = Counter()
+    for w, n in counts.items():
+        inside[class_of(w)] += n
+    assert seen["tokens"] == sum(counts.values()) + sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)
+    texts = dict(rows)
+    for r in got:
+        words = texts[r.doc_id].encode().lower().split()
+        classes, total = [class_of(w) for w in words] + [0], 0.0
+        for t, c in enumerate(classes):
+            far, near = (classes[t - 2] if t > 1 else 0), (classes[t - 1] if t else 0)
+            logits = (m.context[far] * m.mix[0] + m.context[near] * m.mix[1]) @ m.target.T + m.bias
+            total += (logits[c] - np.log(np.exp(logits.astype(float)).sum())) / np.log(10)
+            if t < len(words) and words[t] not in alone:
+                total += np.log10((counts[words[t]] + 0.5) / (inside[c] + 0.5 * (kinds[c] + 1)))
+        assert r.score == pytest.approx(total, rel=1e-4)
+
+
+def test_pair_counts_and_their_fit(spark):
+    rng = np.random.default_rng(1)
+    seqs = [rng.integers(0, 6, rng.integers(1, 30)).astype("<u2") for _ in range(50)]
+    seqs += [np.array([2, 3] * 40, "<u2")] * 20
+    pairs = L.pair_counts(spark.createDataFrame([(bytearray(q.tobytes()),) for q in seqs], "classes binary"), 6)
+    want = Counter((a, b) for q in seqs for a, b in zip([0, *q.tolist()], q.tolist()))
+    assert {k: int(n) for k, n in np.ndenumerate(pairs) if n} == dict(want)
+    prior = pairs.sum(axis=0) / pairs.sum()
+    model = L.LogBilinear.start(prior, 5)
+    L.fit_pairs(model, pairs, prior, turns=600, decay=0.01)
+    scores = model.context @ model.target.T + model.bias
+    log_p = scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+    best = (pairs * np.log(np.maximum(pairs, 1e-9) / pairs.sum(axis=1, keepdims=True))).sum()
+    assert (pairs * log_p).sum() > best - 0.02 * abs(best)
+    assert abs(np.exp(scores).sum(axis=1) - 1).max() < 0.3  # estimation against noise normalises by itself
 
 
 def test_edited_texts_in_id_order(awkward):
