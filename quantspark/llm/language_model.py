@@ -261,7 +261,7 @@ def fit_pairs(model: LogBilinear, pairs: np.ndarray, noise: np.ndarray, samples:
             x -= rate * (1 - turn / (turns + 1)) * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-9)
 
 
-def train_model(training: DataFrame, tokens: int, vocabulary, prior: np.ndarray, dims: int, samples: int, rate: float, batch: int, merge: int, slice_tokens: int = 250_000, most_learners: int = 256, most_rounds: int = 24) -> LogBilinear:
+def train_model(training: DataFrame, tokens: int, vocabulary, prior: np.ndarray, dims: int, samples: int, rate: float, batch: int, merge: int, slice_tokens: int = 400_000, most_learners: int = 256, most_rounds: int = 24) -> LogBilinear:
     """NCE over all rows of ``training`` (text), which have ``tokens`` tokens.
 
     First the nearer context is fitted to the counts of all class pairs.  Then learners go over the
@@ -348,7 +348,7 @@ def score_language(
     docs: DataFrame,
     known_words: int = 200_000,
     classes: int = 768,
-    dims: int = 32,
+    dims: int = 16,
     samples: int = 24,
     rate: float = 0.05,
     batch: int = 1024,
