@@ -47,6 +47,12 @@ def trend(x, ws: WindowSpec, n: int, row: str = "rn") -> Column:
     return F.when((F.count(c).over(w) == n) & (mean != 0), F.regr_slope(c, F.col(row).cast("double")).over(w) / mean)
 
 
+def correlation(x, y, w: WindowSpec) -> Column:
+    """Correlation of pairs without nulls in a frame; null where one side does not vary (the built-in function fails there under ANSI rules)."""
+    spread = F.stddev_samp(_col(x)).over(w) * F.stddev_samp(_col(y)).over(w)
+    return F.try_divide(F.covar_samp(_col(x), _col(y)).over(w), F.nullif(spread, F.lit(0.0)))
+
+
 def change(x, ws: WindowSpec, rows: int) -> Column:
     """x / (x ``rows`` rows ago) - 1."""
     before = F.lag(_col(x), rows).over(ws)

@@ -83,3 +83,13 @@ def assign_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
     inside = (F.col("date") >= F.col("train_start")) & (F.col("date") < F.col("val_end"))
     joined = df.join(F.broadcast(folds), inside)  # one row per fold
     return joined.withColumn("part", part).filter("part is not null").drop("train_start", "train_end", "val_start", "val_end")
+
+
+def purged_training(df: DataFrame, folds: DataFrame, label_end: str = "label_end") -> DataFrame:
+    """Training rows of every fold, with its number: those whose label is known before the fold's validation begins.
+
+    ``label_end`` is the date of the price that a row's label was made from; without it a row has no label
+    and trains no fold.
+    """
+    inside = (F.col("date") >= F.col("train_start")) & (F.col("date") < F.col("train_end")) & (F.col(label_end) < F.col("val_start"))
+    return df.join(F.broadcast(folds), inside).drop("train_start", "train_end", "val_start", "val_end")  # one row per fold

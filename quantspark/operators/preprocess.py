@@ -146,6 +146,69 @@ class FeatureScaler:
         return cls(saved.drop("place", "sector_col"), [r["feature"] for r in rows], rows[0]["sector_col"] if rows else None)
 
 
+def grouped_quantiles(df: DataFrame, group: str, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """(group, feature, quantiles): exact interpolated quantiles of every column within each group, null where it has no value.
+
+    As :func:`exact_quantiles`, for all groups together: brackets come from one sketch a group, and only
+    values inside them are ranked.  The driver gets a row per group, so groups must be few.
+    """
+    columns, slack = list(columns), 3 / accuracy
+    ends = [e for q in probabilities for e in (max(q - slack, 0.0), min(q + slack, 1.0))]
+    parts = [F.struct(F.count(c).alias("n"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"), F.percentile_approx(F.col(c).cast("double"), ends, accuracy).alias("at")).alias(c) for c in columns]
+    rows = []
+    for r in df.groupBy(group).agg(*parts).collect():  # a row per group
+        for c in columns:
+            few = r[c]["n"] < accuracy
+            for i, q in enumerate(probabilities):
+                lo, hi = (r[c]["lo"], r[c]["hi"]) if few else r[c]["at"][2 * i : 2 * i + 2]
+                rows.append((r[group], c, i, lo, hi, q * (r[c]["n"] - 1)))
+    kind = df.schema[group].dataType.simpleString()
+    brackets = df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, feature string, i int, lo double, hi double, place double")
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    tall = df.select(group, F.explode(F.filter(each, lambda x: x["value"].isNotNull())).alias("v")).select(group, "v.feature", "v.value")
+    keys = [group, "feature", "i"]
+    met = tall.join(F.broadcast(brackets), [group, "feature"]).filter(F.col("value") <= F.col("hi"))  # a row per group, feature and quantile
+    counted = met.groupBy(*keys, "place", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value")).count()  # values below the bracket together, as null
+    reached = F.sum("count").over(W.partitionBy(*keys).orderBy(F.asc_nulls_first("value")).rowsBetween(W.unboundedPreceding, 0))
+    ranked = counted.withColumn("reached", reached)
+    found = ranked.groupBy(*keys).agg(
+        F.min(F.when(F.col("reached") > F.floor("place"), F.col("value"))).alias("a"), F.min(F.when(F.col("reached") > F.ceil("place"), F.col("value"))).alias("b"), F.first(F.col("place") - F.floor("place")).alias("part")
+    )
+    value = F.when(F.col("part") == 0, F.col("a")).otherwise((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b"))
+    values = found.groupBy(group, "feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("value")))), lambda x: x["value"]).alias("quantiles"))
+    return brackets.select(group, "feature").distinct().join(values, [group, "feature"], "left")
+
+
+@dataclass
+class FoldScaler:
+    """Bounds and moments of each fold's own training rows: ``parameters`` has fold, feature, lo, hi, mean, std, n."""
+
+    parameters: DataFrame
+    features: list[str]
+
+    @classmethod
+    def fit(cls, training: DataFrame, features: Sequence[str], quantile: float = 0.01) -> "FoldScaler":
+        """From ``training`` (fold, features), all folds in one plan; nulls count as 0 in the moments, as they do when scaled.  It is read three times."""
+        features = list(features)
+        bounds = grouped_quantiles(training, "fold", features, (quantile, 1 - quantile))
+        bounds = bounds.select("fold", "feature", F.col("quantiles")[0].alias("lo"), F.col("quantiles")[1].alias("hi"))
+        each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])
+        tall = training.select("fold", F.explode(each).alias("v")).select("fold", "v.feature", "v.x").join(F.broadcast(bounds), ["fold", "feature"])  # a row per fold and feature
+        x = F.coalesce(_clip(F.col("x"), F.col("lo"), F.col("hi")), F.lit(0.0))
+        std = F.stddev_samp(x)
+        found = tall.groupBy("fold", "feature", "lo", "hi").agg(F.avg(x).alias("mean"), F.when(std > 0, std).otherwise(1.0).alias("std"), F.count(F.lit(1)).alias("n")).collect()
+        schema = "fold int, feature string, lo double, hi double, mean double, std double, n long"
+        return cls(training.sparkSession.createDataFrame(found, schema), features)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Rows (fold, features) clipped, filled and scaled by their fold's parameters; rows of folds without any get 0 and 1."""
+        value = lambda c, x: F.max(F.when(F.col("feature") == c, F.col(x))).alias(f"__{x}_{c}")
+        wide = self.parameters.groupBy("fold").agg(*[value(c, x) for c in self.features for x in ("lo", "hi", "mean", "std")])
+        out = df.join(F.broadcast(wide), "fold", "left")  # one row per fold
+        scaled = lambda c: (F.coalesce(_clip(F.col(c), F.col(f"__lo_{c}"), F.col(f"__hi_{c}")), F.lit(0.0)) - F.coalesce(f"__mean_{c}", F.lit(0.0))) / F.coalesce(f"__std_{c}", F.lit(1.0))
+        return out.select(*[scaled(c).alias(c) if c in self.features else F.col(c) for c in df.columns])
+
+
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, non_null_pct, nulls, mean, std, p01, p99; least covered first."""
     stats = df.agg(

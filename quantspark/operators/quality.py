@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import by, rolling
+from ..functions.windows import by, correlation, rolling
 
 
 def rsi_out_of_range(df: DataFrame, column: str = "rsi_14") -> DataFrame:
@@ -94,7 +94,7 @@ def rolling_correlation(pairs: DataFrame, key: str, x: str, y: str, n: int = 90)
     ws = by(key)
     w = ws.rowsBetween(-(n - 1), 0)
     both = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).over(w)
-    return pairs.select(key, "date", F.when(both == n, F.corr(x, y).over(w)).alias("correlation"))
+    return pairs.select(key, "date", F.when(both == n, correlation(x, y, w)).alias("correlation"))
 
 
 def index_to_100(bars: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import div, gap, nonzero
-from ..functions.windows import by, calendar_fill, asof_join, change, ewma, rolling, running, trailing, trend
+from ..functions.windows import by, calendar_fill, asof_join, change, correlation, ewma, rolling, running, trailing, trend
 
 def _ws():
     return by("stock_id")
@@ -180,7 +180,7 @@ def beta_and_correlation(df: DataFrame, benchmark: DataFrame, pairs: int = 60) -
         "stock_id",
         "date",
         F.when(enough & (spread != 0), F.covar_samp("r", "market_return").over(w) / nonzero(spread)).alias("beta_60d"),
-        F.when(enough & (spread != 0), F.corr("r", "market_return").over(w)).alias("correlation_spy_60d"),
+        F.when(enough & (spread != 0), correlation("r", "market_return", w)).alias("correlation_spy_60d"),
     )
 
 

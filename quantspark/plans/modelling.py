@@ -313,6 +313,39 @@ def coverage(spark, sf_dir):
     return found.select("feature", "nulls", *[F.round(c, 6).alias(c) for c in ("non_null_pct", "mean", "std", "p01", "p99")])
 
 
+# --- scaling by fold: bounds and moments of each fold's training rows, purged of labels that reach into validation
+
+_FOLD_COLS = ("momentum_10d", "momentum_30d", "volume_ratio_30d", "realized_vol_20d")
+
+
+def _fold_training(spark, sf_dir) -> DataFrame:
+    bars = M.bars(spark, sf_dir)
+    ends = bars.select("stock_id", "date", F.lead("date", L.HORIZON).over(by("stock_id")).alias("label_end"))
+    rows = _technical(spark, sf_dir).select("stock_id", "date", *_FOLD_COLS).join(ends, ["stock_id", "date"])
+    return written(L.purged_training(rows, L.walk_forward(bars.select("date"))), "fold-training")[0]
+
+
+_FOLDS = f"""WITH RECURSIVE {BARS},
+t0 AS (SELECT stock_id, date, row_number() OVER (PARTITION BY stock_id ORDER BY date) AS rn, lead(date, 63) OVER (PARTITION BY stock_id ORDER BY date) AS label_end,
+  {changed('close', 9)} AS momentum_10d, {changed('close', 29)} AS momentum_30d, nullif(volume, 0) / nullif({full('avg', 'volume', 30)}, 0) AS volume_ratio_30d,
+  ln(close / nullif({lagged('close', 1)}, 0)) AS lr FROM bars),
+t1 AS (SELECT *, stddev_samp(lr) {over(20)} * sqrt(252) AS realized_vol_20d FROM t0), t AS (FROM t1 WHERE rn >= 20),
+span AS (SELECT min(date) AS lo, max(date) AS hi FROM bars),
+fold AS (SELECT 0 AS fold, lo AS train_start, hi FROM span UNION ALL SELECT fold + 1, (train_start + INTERVAL 3 MONTH)::DATE, hi FROM fold WHERE train_start < hi),
+ends AS (SELECT fold, train_start, (train_start + INTERVAL 36 MONTH)::DATE AS train_end, hi FROM fold),
+folds AS (SELECT *, (train_end + INTERVAL 1 MONTH)::DATE AS val_start FROM ends WHERE (train_end + INTERVAL 1 MONTH + INTERVAL 3 MONTH)::DATE <= hi),
+tr AS (SELECT fold, {', '.join(_FOLD_COLS)} FROM t JOIN folds ON t.date >= train_start AND t.date < train_end AND label_end < val_start),
+tall AS ({' UNION ALL '.join(f"SELECT fold, '{c}' AS feature, {c} AS x FROM tr" for c in _FOLD_COLS)}),
+b AS (SELECT fold, feature, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM tall GROUP BY ALL),
+k AS (SELECT fold, feature, lo, hi, coalesce(CASE WHEN x IS NOT NULL THEN greatest(least(x, hi), lo) END, 0) AS x FROM tall JOIN b USING (fold, feature))"""
+
+
+@register("fold_bounds", f"{_FOLDS} SELECT fold, feature, {r6('lo')} AS lo, {r6('hi')} AS hi, {r6('avg(x)')} AS mean, {r6('stddev_samp(x)')} AS std, count(*) AS n FROM k GROUP BY fold, feature, lo, hi")
+def fold_bounds(spark, sf_dir):
+    found = P.FoldScaler.fit(_fold_training(spark, sf_dir), _FOLD_COLS).parameters
+    return found.select("fold", "feature", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "mean", "std")], "n")
+
+
 # --- signals: probabilities are fixed functions of bars --------------------------------------
 
 _SHAPES = {"xgb": (7, 3), "lstm": (5, 11)}

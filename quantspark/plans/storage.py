@@ -134,3 +134,30 @@ SELECT conv_id, turn, {r6(f'coalesce(s / sqrt(s * s + {X.NORMAL}::DOUBLE), 0)')}
 def text_scores(spark, sf_dir):
     rows = M.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return X.score_texts(rows, F.col("text")).select("conv_id", "turn", F.round("compound", 6).alias("compound"))
+
+
+# --- facts by period and filing day: a first filing after 45 days, restated after 120 ---------
+
+
+def _facts(spark, sf_dir):
+    orders = M.table(spark, sf_dir, "orders").join(M.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    end = F.date_sub(F.add_months(F.date_trunc("quarter", "o_orderdate"), 3).cast("date"), 1)
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    sums = orders.groupBy(F.col("c_nationkey").cast("long").alias("stock_id"), end.alias("period_end")).agg(F.sum(F.when(F.col("o_orderstatus") == "F", price)).cast("double").alias("first"), F.sum(price).cast("double").alias("restated"))
+    filings = F.array(F.struct(F.date_add("period_end", 45).alias("filed"), F.col("first").alias("value")), F.struct(F.date_add("period_end", 120).alias("filed"), F.col("restated").alias("value")))
+    return sums.select("stock_id", "period_end", F.explode(filings).alias("f")).select("stock_id", F.lit("Revenues").alias("tag"), "period_end", "f.filed", "f.value").filter("value is not null")
+
+
+@register(
+    "facts_known",
+    """WITH q AS (SELECT c_nationkey::BIGINT AS stock_id, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS period_end,
+  (sum(o_totalprice::DECIMAL(18,2)) FILTER (WHERE o_orderstatus = 'F'))::DOUBLE AS first, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS restated FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+facts AS (SELECT stock_id, period_end, period_end + 45 AS filed, first AS value FROM q WHERE first IS NOT NULL UNION ALL SELECT stock_id, period_end, period_end + 120, restated FROM q),
+spine AS (SELECT DISTINCT c_nationkey::BIGINT AS stock_id, (date_trunc('month', o_orderdate))::DATE AS as_of FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT s.stock_id, s.as_of, 'Revenues' AS tag, period_end, filed, value FROM spine s LEFT JOIN facts f ON f.stock_id = s.stock_id AND f.filed <= s.as_of
+QUALIFY row_number() OVER (PARTITION BY s.stock_id, s.as_of ORDER BY period_end DESC NULLS LAST, filed DESC) = 1""",
+)
+def facts_known(spark, sf_dir):
+    orders = M.table(spark, sf_dir, "orders").join(M.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    spine = orders.select(F.col("c_nationkey").cast("long").alias("stock_id"), F.trunc("o_orderdate", "month").alias("as_of")).distinct()
+    return feeds.facts_known(spine, _facts(spark, sf_dir), ["Revenues"])

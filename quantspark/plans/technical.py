@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import incremental as N
 from ..operators import technical as T
 from ..sources import market as M
+from ..sources.scratch import written
 
 # --- SQL building blocks -------------------------------------------------------------------
 
@@ -206,4 +208,24 @@ def technical_all(spark, sf_dir):
     return latest_per_key(df, ["stock_id"]).select("stock_id", "date", *[F.round(n, 6).alias(n) for n in T.FEATURES])
 
 
-register("technical_latest", technical_all)
+#: Every technical feature of every date, from the statements above.
+_PARTS = (
+    "sma_all price_gaps slopes ema_all macd rsi atr stochastic_williams momentum bollinger realized_vol volume_ratios obv acc_dist vpt high_low_52w cci mfi rel_strength"
+).split()
+_ALL = "FROM " + " ".join(f"{'JOIN ' if i else ''}({SQL[q]}) {q}{' USING (stock_id, date)' if i else ''}" for i, q in enumerate(_PARTS)) + f" LEFT JOIN ({BETA}) beta_corr USING (stock_id, date)"
+register("technical_latest", technical_all, f"SELECT stock_id, date, {', '.join(T.FEATURES)} {_ALL} QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) = 1")
+
+STATE_AT = "2001-06-30"
+#: Features with an endless memory, some made of them, and some of the longest windows.
+_CARRIED = "ema_10 ema_20 ema_50 price_vs_ema20 ema50_vs_sma200 rsi_14 rsi_7 macd macd_signal macd_histogram atr_14 atr_pct obv obv_trend sma200_slope high_52w_pct low_52w_pct momentum_180d relative_strength_vs_spy beta_60d".split()
+
+
+def incremental_features(spark, sf_dir):
+    """Features of all bars after STATE_AT, from the state at that date."""
+    bars = M.bars(spark, sf_dir)
+    state = written(N.start_state(bars.filter(F.col("date") <= STATE_AT)), "feature-state")[0]
+    found = N.advance(state, bars.filter(F.col("date") > STATE_AT), M.benchmark(spark, sf_dir), M.sector_funds(spark, sf_dir))[0]
+    return found.select("stock_id", "date", *[F.round(c, 6).alias(c) for c in _CARRIED])
+
+
+register("incremental_features", incremental_features, f"SELECT stock_id, date, {', '.join(_CARRIED)} {_ALL} WHERE date > DATE '{STATE_AT}'")

@@ -34,6 +34,66 @@ def price_rows(raw: DataFrame) -> DataFrame:
     return raw.select("stock_id", F.to_date("date").alias("date"), *map(price, ("open", "high", "low", "close")), adjusted, F.coalesce("volume", F.lit(0)).cast("long").alias("volume"))
 
 
+def read_prices(spark: SparkSession, path: str, kind: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """Vendor bars from CSV (with a header) or JSON lines: rows as stored, and the quarantine.
+
+    The quarantine (line, reason) has the lines that cannot be read, have no stock or day, a price
+    below 0, a low above the high or a close outside both; stored rows are the first of each stock and day.
+    """
+    fields = "stock_id long, date string, open double, high double, low double, close double, adj_close double, volume double, __line string"
+    reader = spark.read.schema(fields).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__line")
+    raw = reader.csv(path, header=True) if kind == "csv" else reader.json(path)
+    least = F.least(*[F.col(c) for c in ("open", "high", "low", "close", "adj_close", "volume")])
+    low, high, close = (F.col(c) for c in ("low", "high", "close"))
+    reason = (
+        F.when(F.col("__line").isNotNull(), "unreadable")
+        .when(F.col("stock_id").isNull(), "no stock")
+        .when(F.try_to_date("date").isNull(), "no day")
+        .when(least < 0, "below 0")
+        .when(low > high, "low above high")
+        .when((close > high) | (close < low), "close outside low and high")
+    )
+    told = raw.withColumn("__reason", reason)
+    line = F.coalesce("__line", F.to_json(F.struct(*[c for c in raw.columns if c != "__line"])))
+    good = told.filter("__reason is null").dropDuplicates(["stock_id", "date"])
+    return price_rows(good), told.filter("__reason is not null").select(line.alias("line"), F.col("__reason").alias("reason"))
+
+
+def fact_rows(documents: DataFrame, taxonomy: str = "us-gaap", forms: Sequence[str] = ("10-K", "10-Q", "10-K/A", "10-Q/A")) -> DataFrame:
+    """Facts from the vendor's nested maps: stock_id, tag, unit, period_start, period_end, filed, accession_number, form, value.
+
+    ``documents`` has stock_id and ``json`` (facts by taxonomy, tag and unit).  Facts without an end, a filing
+    day or a value, and those of other forms, are left out; broken documents give none.
+    """
+    fact = "array<struct<start:string,end:string,val:double,accn:string,form:string,filed:string>>"
+    parsed = documents.select("stock_id", F.from_json("json", f"facts map<string,map<string,struct<units:map<string,{fact}>>>>").alias("d"))
+    tags = parsed.select("stock_id", F.explode(F.try_element_at(F.col("d.facts"), F.lit(taxonomy))).alias("tag", "t"))
+    units = tags.select("stock_id", "tag", F.explode("t.units").alias("unit", "facts"))
+    f = units.select("stock_id", "tag", "unit", F.explode("facts").alias("f"))
+    rows = f.select(
+        "stock_id", "tag", "unit", F.try_to_date("f.start").alias("period_start"), F.try_to_date("f.end").alias("period_end"), F.try_to_date("f.filed").alias("filed"),
+        F.col("f.accn").alias("accession_number"), F.col("f.form").alias("form"), F.col("f.val").alias("value"),
+    )
+    return rows.filter(F.col("period_end").isNotNull() & F.col("filed").isNotNull() & F.col("value").isNotNull() & F.col("form").isin(list(forms)))
+
+
+def facts_known(spine: DataFrame, facts: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """stock_id, as_of, tag, period_end, filed, value: for each day of ``spine`` (stock_id, as_of) the newest period filed by then, as stated in its newest filing by then.
+
+    A restatement counts from the day it was filed, and a late filing of an older period never hides a
+    newer one.  Days without any fact have nulls.  Of several values filed on one day for a period the largest counts.
+    """
+    from ..functions.windows import asof_join
+
+    wanted = facts.filter(F.col("tag").isin(list(tags)))
+    daily = wanted.groupBy("stock_id", "tag", "filed").agg(F.max(F.struct("period_end", "filed", "value")).alias("newest"))
+    so_far = F.max("newest").over(W.partitionBy("stock_id", "tag").orderBy("filed").rowsBetween(W.unboundedPreceding, 0))
+    best = daily.select("stock_id", "tag", F.col("filed").alias("date"), so_far.alias("best"))
+    asked = spine.select("stock_id", F.col("as_of").alias("date"), F.explode(F.array(*map(F.lit, tags))).alias("tag")).distinct()
+    found = asof_join(asked, best, ["stock_id", "tag"], values=["best"])
+    return found.select("stock_id", F.col("date").alias("as_of"), "tag", "best.period_end", "best.filed", "best.value")
+
+
 def missing_ranges(stocks: DataFrame, prices: DataFrame, as_of, years: int = 5) -> DataFrame:
     """stock_id, fetch_from: the first day to fetch per stock; stocks at most a day behind are left out."""
     last = prices.groupBy("stock_id").agg(F.max("date").alias("last"))

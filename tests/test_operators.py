@@ -183,6 +183,32 @@ def test_trading_day_offset(spark):
     assert tuple(got) == (dt.date(2024, 5, 4), dt.date(2024, 1, 24), dt.date(2024, 1, 31))
 
 
+def test_folds_are_scaled_by_their_own_purged_rows(spark):
+    from quantspark.operators import labels as L
+
+    rng = np.random.default_rng(11)
+    day = lambda n: dt.date(2015, 1, 1) + dt.timedelta(days=n)
+    rows = [(i, day(n), day(n + 90) if n < 1900 else None, float(rng.lognormal()) * (1 + n / 500), float(rng.normal()) if rng.random() < 0.7 else None, None) for n in range(0, 2000, 3) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "stock_id long, date date, label_end date, a double, b double, c double")
+    folds = L.walk_forward(df.select("date"), train=24, gap=1, validate=3, step=9)
+    training = L.purged_training(df, folds)
+    of = {f.fold: f for f in folds.collect()}
+    kept = {k: [r for r in rows if f.train_start <= r[1] < f.train_end and r[2] is not None and r[2] < f.val_start] for k, f in of.items()}
+    assert len(of) > 3 and all(r.label_end < of[r.fold].val_start for r in training.collect())
+    for accuracy in (10_000, 100):
+        got = {(r.fold, r.feature): r.quantiles for r in P.grouped_quantiles(training, "fold", ["a", "b", "c"], (0.01, 0.4, 0.99), accuracy).collect()}
+        for k, mine in kept.items():
+            for at, c in ((3, "a"), (4, "b")):
+                assert got[k, c] == pytest.approx(np.quantile([r[at] for r in mine if r[at] is not None], (0.01, 0.4, 0.99)))
+            assert got[k, "c"] is None or got[k, "c"] == [None] * 3
+    scaler = P.FoldScaler.fit(training, ["a", "b", "c"])
+    scaled = scaler.transform(training).filter("fold = 1").collect()
+    x = np.array([r[3] for r in kept[1]])
+    x = np.clip(x, *np.quantile(x, (0.01, 0.99)))
+    assert sorted(r.a for r in scaled) == pytest.approx(sorted((x - x.mean()) / x.std(ddof=1))) and {r.c for r in scaled} == {0.0}
+    assert {r.n for r in scaler.parameters.filter("fold = 1").collect()} == {len(kept[1])}
+
+
 def test_scaler_parameters_are_local_and_survive_saving(spark, tmp_path):
     rows = [(float(i), float(i % 7) if i % 5 else None, "xy"[i % 2], None) for i in range(200)]
     df = spark.createDataFrame(rows, "rsi_14 double, pe_ratio double, sector string, atr_14 double")

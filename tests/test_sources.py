@@ -52,6 +52,45 @@ def test_news_and_posts(spark):
     assert r.day == dt.date(2024, 1, 10) and r.compound < 0
 
 
+def test_broken_price_lines_go_to_the_quarantine(spark, tmp_path):
+    head = "stock_id,date,open,high,low,close,adj_close,volume\n"
+    good = ["1,2024-01-02,1,2,1,1.5,1.5,10", "1,2024-01-03,1,,1,1.5,,", "1,2024-01-02,1,2,1,1.5,1.5,10"]
+    bad = {"1,2024-01-04,one,2,1,1.5,1.5,10": "unreadable", ",2024-01-04,1,2,1,1.5,1.5,10": "no stock", "1,someday,1,2,1,1.5,1.5,10": "no day", "1,2024-01-05,-1,2,1,1.5,1.5,10": "below 0",
+           "1,2024-01-06,1,1,2,1.5,1.5,10": "low above high", "1,2024-01-07,1,2,1,9,9,10": "close outside low and high"}
+    path = tmp_path / "bars.csv"
+    path.write_text(head + "\n".join([*good, *bad]) + "\n")
+    rows, quarantine = feeds.read_prices(spark, str(path))
+    assert sorted((r.date.day, r.high, r.adj_close, r.volume) for r in rows.collect()) == [(2, 2.0, 1.5, 10), (3, 0.0, 1.5, 0)]
+    assert sorted(r.reason for r in quarantine.collect()) == sorted(bad.values())
+    assert quarantine.filter("reason = 'unreadable'").first().line == next(iter(bad))
+    lines = tmp_path / "bars.json"
+    lines.write_text('{"stock_id": 1, "date": "2024-01-02", "close": 3}\n{"stock_id": 1,\n')
+    rows, quarantine = feeds.read_prices(spark, str(lines), "json")
+    assert [r.close for r in rows.collect()] == [3.0] and [r.reason for r in quarantine.collect()] == ["unreadable"]
+
+
+def test_facts_are_known_from_their_filing_day(spark):
+    fact = lambda end, val, filed, form="10-Q": {"start": "2020-01-01", "end": end, "val": val, "accn": f"a{filed}", "form": form, "filed": filed}
+    units = {"USD": [fact("2020-03-31", 10, "2020-05-01"), fact("2020-06-30", 20, "2020-08-01"), fact("2020-03-31", 11, "2020-09-01", "10-Q/A"), fact("2020-06-30", 22, "2020-10-01", "10-Q/A"),
+                     fact("2020-09-30", 99, "2020-08-02", "S-1"), fact(None, 1, "2020-08-02"), fact("2020-09-30", None, "2020-08-02"), fact("2020-09-30", 1, "soon")]}
+    doc = json.dumps({"facts": {"us-gaap": {"Revenues": {"units": units}, "Assets": {"units": {}}}, "dei": {"Shares": {"units": {"shares": [fact("2020-03-31", 5, "2020-05-01")]}}}}})
+    docs = spark.createDataFrame([(1, doc), (2, "{broken"), (3, None), (4, "{}")], "stock_id long, json string")
+    rows = feeds.fact_rows(docs)
+    assert sorted((str(r.filed), r.value) for r in rows.collect()) == [("2020-05-01", 10.0), ("2020-08-01", 20.0), ("2020-09-01", 11.0), ("2020-10-01", 22.0)]
+    asked = {"2020-04-30": None, "2020-05-01": 10.0, "2020-08-15": 20.0, "2020-09-15": 20.0, "2020-12-31": 22.0}
+    spine = spark.createDataFrame([(i, dt.date.fromisoformat(d)) for d in asked for i in (1, 2)], "stock_id long, as_of date")
+    got = feeds.facts_known(spine, rows, ["Revenues", "Assets"]).collect()
+    assert len(got) == 20 and {str(r.as_of): r.value for r in got if r.stock_id == 1 and r.tag == "Revenues"} == asked
+    assert all(r.value is None for r in got if r.stock_id == 2 or r.tag == "Assets")
+    assert feeds.fact_rows(docs, "dei").first().unit == "shares"
+
+
+def test_old_posts_are_cut_off(spark):
+    rows = [(1, "wsb", 1704844800.0 - 86400 * d, 5, 2, "gains", None) for d in (0, 29, 31)]
+    posts = spark.createDataFrame(rows, "stock_id long, subreddit string, created_utc double, score long, num_comments long, title string, selftext string")
+    assert feeds.post_rows(posts).count() == 3 and feeds.post_rows(posts, as_of="2024-01-10").count() == 2
+
+
 def test_store_append_overwrite_migrate(spark, tmp_path):
     db = store.TableStore(spark, str(tmp_path))
     day = dt.date(2024, 1, 2)
