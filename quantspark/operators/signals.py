@@ -12,6 +12,9 @@ BLEND = (0.6, 0.4)
 STRONG_BUY, STRONG_SELL = 0.60, 0.40
 WIN, LOSS = 0.10, 0.05
 CLASSES = range(4)
+# Parts of the score (bull probability, expected return relative to the best class, conviction) and the least score and conviction of each action.
+SCORE_PARTS = (50, 30, 20)
+STRONG_BUY_AT, BUY_AT, SELL_AT, WATCH_AT = (75, 0.60), (60, 0.50), (25, 0.60), 45
 
 
 def blend(df: DataFrame, first: str = "xgb", second: str | None = "lstm", weights: tuple[float, float] = BLEND) -> DataFrame:
@@ -68,12 +71,12 @@ def top_signals(df: DataFrame, n: int) -> DataFrame:
 def score_and_action(df: DataFrame) -> DataFrame:
     """Add score (0 to 100) and action by the configured weights and thresholds."""
     bull = F.col("prob_class_2") + F.col("prob_class_3")
-    scored = df.withColumn("score", bull * 50 + F.col("expected_return") * 100 / 25 * 30 + F.col("conviction") * 20)
+    bulls, returns, convictions = SCORE_PARTS
+    scored = df.withColumn("score", bull * bulls + F.col("expected_return") * 100 / 25 * returns + F.col("conviction") * convictions)
     score, sure = F.col("score"), F.col("conviction")
-    action = (
-        F.when((score >= 75) & (sure >= 0.60), "strong_buy").when((score >= 60) & (sure >= 0.50), "buy")
-        .when((score <= 25) & (sure >= 0.60), "sell").when(score >= 45, "watch").otherwise("hold")
-    )
+    above = lambda at: (score >= at[0]) & (sure >= at[1])
+    sell = (score <= SELL_AT[0]) & (sure >= SELL_AT[1])
+    action = F.when(above(STRONG_BUY_AT), "strong_buy").when(above(BUY_AT), "buy").when(sell, "sell").when(score >= WATCH_AT, "watch").otherwise("hold")
     return scored.withColumn("action", action)
 
 
