@@ -252,9 +252,8 @@ def feature_importance(spark, sf_dir):
 @register("sequence_scores")
 def sequence_scores(spark, sf_dir):
     """Probabilities of the held-out sequences by the recurrent network, over the five step columns that have SQL."""
-    frame = written(_steps(spark, sf_dir), "step-frame")[0]
     labelled = written(_window_labels(spark, sf_dir).select("stock_id", "date", "label"), "window-labels")[0]
-    held = R.fit_steps(frame, labelled, TRAIN_FROM, TRAIN_UNTIL, HOLD_FROM, A.RecurrentParams(hidden=24, layers=2, epochs=5, rate=3e-3))[2]
+    held = R.fit_steps(_steps(spark, sf_dir), labelled, TRAIN_FROM, TRAIN_UNTIL, HOLD_FROM, A.RecurrentParams(hidden=24, layers=1, epochs=5, rate=3e-3))[2]
     return held.select("stock_id", "date", "label", *[f"lstm_prob_{k}" for k in range(4)], "predicted_class")
 
 

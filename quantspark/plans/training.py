@@ -17,6 +17,7 @@ from ..operators import dataset as D
 from ..operators import labels as L
 from ..operators import models
 from ..operators import preprocess as P
+from ..sources.scratch import written
 
 log = logging.getLogger("quantspark")
 VALIDATION_MONTHS = 4
@@ -60,10 +61,10 @@ def fit_steps(frame: DataFrame, labelled: DataFrame, start: dt.date, end: dt.dat
     """Scaler of the steps, recurrent network on scaled sequences, and the scored held-out sequences.
 
     ``labelled`` has stock_id, date, label; sequences reach back before ``start``, the scaler does not.
-    ``frame`` is read several times: pass a written table.
+    The filled frame is written once, since scaler and sequences read it several times.
     """
     names = [c for c in D.SEQUENCE if c in frame.columns]
-    frame = filled_steps(frame)
+    frame = written(filled_steps(frame), "filled-steps")[0]
     scaler = P.FeatureScaler.fit(frame.filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(validation_start))), names)
     rows = D.sequences(scaler.transform(frame), names, steps).join(labelled.filter("label is not null"), ["stock_id", "date"])
     data = split(rows, start, end, validation_start)
