@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
         .withColumn("cap_before", F.coalesce(F.sum("cap").over(upto), F.lit(0.0)))
         .withColumn("weight_before", F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
         .withColumn("full", F.col("cap") <= level * F.col("weight"))
-        .withColumn("level", F.min(F.when(~F.col("full"), level)).over(whole))
+        .withColumn("level", F.max(F.when(~F.col("full"), level)).over(whole))
         .withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("weight")))
         .select("source", "source_size", "weight", "target")
     )

@@ -128,7 +128,7 @@ sums AS (
 levels AS (SELECT *, (1.5 * all_words - cap_before) / (weight_all - weight_before) AS lev FROM sums),
 filled AS (SELECT *, cap <= lev * weight AS is_full FROM levels),
 targets AS (
-  SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * min(CASE WHEN NOT is_full THEN lev END) OVER () END AS target
+  SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * max(CASE WHEN NOT is_full THEN lev END) OVER () END AS target
   FROM filled),
 budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM targets),
