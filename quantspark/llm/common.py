@@ -168,6 +168,21 @@ def keep_rows(docs: DataFrame, id_col: str, mark: Column, stay: DataFrame) -> Da
     return keyed(docs, docs[id_col], mark).join(wanted, names, "left_semi").dropDuplicates(names).select(docs.columns)
 
 
+def counted_rows(rows: DataFrame, per_block: int = 4096) -> DataFrame:
+    """The distinct rows of ``rows`` with ``copies``, at most ``per_block`` in a row, and a number ``block``.
+
+    Repeats are added up before they are shuffled; a row repeated more often comes in several blocks,
+    which a hash of row and block spreads over tasks.  ``expand_copies`` undoes it.
+    """
+    times, first = F.col("copies"), F.col("block") * F.lit(per_block)
+    return (
+        rows.groupBy(*rows.columns)
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / per_block))))
+        .withColumn("copies", F.least(times - first, F.lit(per_block).cast("long")))
+    )
+
+
 def expand_copies(df: DataFrame, copies: str, index: str) -> DataFrame:
     """One row per copy, numbered from 1 in ``index``; undoes a count of repeated rows."""
     return df.withColumn(index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(copies)

@@ -15,10 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cell_bits, materialize, text_or_empty
+from .common import cell_bits, counted_rows, expand_copies, materialize, text_or_empty, top_bits, with_exclusive_prefix
 
 POSITION_BITS = 62
 MAX_CELLS = 65536
@@ -167,19 +166,20 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     A group larger than an equal share of what is left gets a shard of its own (there are fewer
     than ``shards`` such groups); the others are cut by :func:`minimax_cuts`.  A size is the UTF-8
     length plus 16; null texts have size 16, checksum 0 and go with empty ones.  Slots count from
-    0 in each shard without gaps.  With fewer groups than shards, shards stay empty.
+    0 in each shard without gaps.  With fewer groups than shards, shards stay empty.  Slots follow a
+    hash of id and text, so rows without an id spread like others; repeats of a row are added up
+    and get slots block by block.  After the greedy walk has given the least capacity, cuts move
+    to the places nearest even ones that keep within it.
     """
     text = text_or_empty(text_col)
-    narrow = materialize(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(text) + RECORD_OVERHEAD).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64(text), 64 - POSITION_BITS).alias("pos"),
-        ),
-        "shard-rows",
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(text) + RECORD_OVERHEAD).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.shiftrightunsigned(F.xxhash64(text), 64 - POSITION_BITS).alias("pos"),
     )
-    groups = materialize(narrow.groupBy("pos").agg(F.sum("size").alias("size")), "shard-groups")
+    narrow = materialize(counted_rows(rows), "shard-rows")
+    groups = materialize(narrow.groupBy("pos").agg(F.sum(F.col("size") * F.col("copies")).alias("size")), "shard-groups")
     total = groups.agg(F.sum("size")).first()[0] or 0
     alone, left = [], total
     for pos, size in groups.orderBy(F.desc("size"), "pos").limit(shards).collect():
@@ -193,21 +193,15 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     shard = F.lit(len(alone)) + passed
     for i, pos in enumerate(alone):
         shard = F.when(F.col("pos") == pos, F.lit(i)).otherwise(shard)
-    rows = narrow.count()
-    bits = cell_bits(rows, ROWS_PER_SLOT_CELL * shards)
-    cell = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(bits)), 64 - bits) if bits else F.lit(0).cast("long")
-    placed = narrow.withColumn("shard", shard.cast("int")).withColumn("cell", cell)
-
-    counts = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = W.partitionBy("shard", "cell").orderBy("doc_id", "pos", "size")
-    return placed.join(starts, ["shard", "cell"]).select(
+    bits = cell_bits(narrow.count(), ROWS_PER_SLOT_CELL * shards)
+    placed = narrow.withColumn("shard", shard.cast("int")).withColumn("cell", top_bits(F.xxhash64("doc_id", "pos", "block"), bits))
+    counted = with_exclusive_prefix(placed, ["shard"], "cell", ["doc_id", "pos", "size", "block"], "copies", "start")
+    return expand_copies(counted, "copies", "nth").select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("start") + F.row_number().over(inside) - 1).cast("long").alias("slot"),
+        (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
