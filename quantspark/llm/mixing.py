@@ -1,9 +1,11 @@
 """Mixing sources to target weights.
 
-Each row gets a hash-random key.  Within a source the rows are ordered by that key; prefix sums of
-word counts come from per-range totals plus a window inside each key range, so a source that holds
-a third of all rows is spread like any other.  Each source is cut at its exact word budget, after
-as many whole epochs as the budget asks for.
+Each row gets a hash-random key.  Within a source the rows are ordered by that key, id and size, rows
+that agree in these are added up, and prefix sums of word counts come from per-range totals plus a
+window inside each key range, so a source that holds a third of all rows, or an id that many rows
+share (null, say), is spread like any other.  Each source is cut at its exact word budget, after as
+many whole epochs as the budget asks for.  Rows before the cut are taken; where several rows agree
+in key, id and size at the cut, they are ordered by their mark and counted.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cell_bits, free_name, materialize, text_or_empty, with_exclusive_prefix, word_count
+from .common import cell_bits, counted_rows, expand_copies, free_name, materialize, text_or_empty, top_bits, with_exclusive_prefix, word_count
 
 ROWS_PER_RANGE = 8192
 
@@ -29,8 +31,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     Sources take the weights in turn by code point, null last.  The budgets share ``share`` of all
     words by weight; none passes ``max_repeat`` times its source, and what is cut off goes to the
     others by weight.  That is a level L with target = min(cap, L * weight): sources are filled in
-    the order of cap / weight, and L follows from the sums before and after the last full one.
-    This window sees one row per source.
+    the order of cap / weight, and L follows from the sums before the first that stays open (at
+    later ones the same quotient is lower).  This window sees one row per source.
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
@@ -88,14 +90,34 @@ def mix_sources(
     # the source's name as a key without nulls
     named = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
     bits = cell_bits(narrow.count(), ROWS_PER_RANGE)
-    ranged = narrow.withColumn("name", named).withColumn("range", F.shiftright("key", 60 - bits) if bits else F.lit(0).cast("long"))
-    summed = with_exclusive_prefix(ranged, ["name"], "range", ["key", "doc_id", "size"], "size", "before")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return (
-        summed.join(budgets.withColumn("name", named).drop("source"), "name")
-        .withColumn("part", part)
-        .select("doc_id", "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *marked)
-    )
+    rows = narrow.withColumn("name", named)
+    budgets = budgets.withColumn("name", named).select("name", "source_size", "target", "epochs", "rest")
+    cuts = materialize(budgets.join(_cuts(rows, budgets, bits), "name", "left"), "mix-cuts")
+    placed = rows.withColumn("place", _place()).join(cuts, "name")
+    at_cut = F.coalesce(F.col("place") == F.col("cut"), F.lit(False))
+    # without a cut the budget ends with the last row
+    whole = F.col("cut").isNull() | (F.col("place") < F.col("cut"))
+    outside = placed.filter(~at_cut).withColumn("part", F.when(whole, F.col("size")).otherwise(0))
+    tied = counted_rows(placed.filter(at_cut).drop("place", "cut"))
+    order = [*marked, "doc_id", "block"]
+    turns = with_exclusive_prefix(tied.withColumn("cell", top_bits(F.xxhash64(*order), bits)), ["name"], "cell", order, "copies", "turn")
+    inside = expand_copies(turns, "copies", "nth").withColumn("left", F.col("rest") - F.col("cut_before") - (F.col("turn") + F.col("nth") - 1) * F.col("size"))
+    inside = inside.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("size", "left")))
+    out = ["doc_id", "source", "size", "source_size", "target", "epochs", "part", *marked]
+    both = outside.select(out).unionByName(inside.select(out))
+    return both.select(*out[:7], (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *marked)
+
+
+def _place() -> Column:
+    return F.struct("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "size")
+
+
+def _cuts(rows: DataFrame, budgets: DataFrame, bits: int) -> DataFrame:
+    """``name, cut, cut_before``: the place (key, id, size) at which a source's ``rest`` ends, and the words before it."""
+    summed = rows.groupBy("name", _place().alias("cut")).agg(F.sum("size").alias("words")).withColumn("range", F.shiftright("cut.key", 60 - bits) if bits else F.lit(0).cast("long"))
+    before = with_exclusive_prefix(summed, ["name"], "range", ["cut"], "words", "before")
+    ends = before.join(budgets.select("name", "rest"), "name").filter("before <= rest and rest < before + words")
+    return ends.select("name", "cut", F.col("before").alias("cut_before"))
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
