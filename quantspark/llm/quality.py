@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, id_crc32_mod, text_or_empty
+from .common import free_name, id_crc32_mod, materialize, text_or_empty
 
 HASH_BITS = 18
 _RUNS = re.compile(r"[^\W_]+|[\W_]+")
@@ -86,11 +87,9 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, passes
 
 def _trainer(bits: int, passes: int, alpha: float, beta: float, l1: float, l2: float):
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "doc_id"], kind="stable")
-        hasher, rows = TokenHasher(), []
-        for text, label in zip(pdf["text"], pdf["quality"]):
-            slots = feature_slots(hasher.tokens(text), bits)
-            slots, counts = np.unique(slots, return_counts=True)
+        rows = []
+        for slots, counts, label in pdf.sort_values(["turn", "id"], kind="stable")[["slots", "counts", "quality"]].itertuples(index=False):
+            slots, counts = np.frombuffer(slots, "<i4").astype(np.int64), np.frombuffer(counts, "<i4")
             values = SCALE * counts / max(1, counts.sum())
             rows.append((np.append(slots, 1 << bits), np.append(values, 1.0), int(label)))
         w = train_ftrl(rows, bits, passes, alpha, beta, l1, l2).astype("<f4")
@@ -100,6 +99,20 @@ def _trainer(bits: int, passes: int, alpha: float, beta: float, l1: float, l2: f
     return train
 
 
+def _counted_features(bits: int):
+    """Each text as its distinct slots and their counts, so that no training task holds whole texts."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = TokenHasher()
+        for pdf in batches:
+            found = [np.unique(feature_slots(hasher.tokens(text), bits), return_counts=True) for text in pdf["text"]]
+            yield pdf[["id", "turn", "quality"]].assign(
+                slots=[s.astype("<i4").tobytes() for s, _ in found], counts=[c.astype("<i4").tobytes() for _, c in found], width=[len(s) + 1 for s, _ in found]
+            )
+
+    return count
+
+
 #: Values are relative frequencies times this, so that a weight of 1 on half a text counts.
 SCALE = 10.0
 
@@ -115,22 +128,35 @@ def train_quality(
     l1: float = 0.05,
     l2: float = 0.0,
     bits: int = HASH_BITS,
+    max_features: int = 1 << 25,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> np.ndarray:
     """Weights (``2**bits`` and a bias) learnt from at most ``max_rows`` labelled documents.
 
-    Training rows are those with a label whose crc32(id) mod 4 is not 2; where there are more than
-    ``max_rows``, those with the smallest hash of the id are taken.  They are dealt to ``learners``
-    tasks, whose weights are averaged.  Without training rows all weights are 0.
+    ``labels`` has ``doc_id`` and ``quality``.  Training rows are those with a label whose crc32(id)
+    mod 4 is not 2; where there are more than ``max_rows``, those with the smallest hash of the id
+    are taken, and of these, in the same order, as many as have ``max_features`` distinct features
+    in sum, which bounds what a learner holds however long texts are.  They are dealt to
+    ``learners`` tasks, whose weights are averaged.
+
+    Null ids, null labels and labels without a document are left out.  Of several labels of an id
+    the least counts; of several documents with an id, the text with the least hash.  Null texts
+    count as empty and teach the bias alone.  Without training rows all weights are 0.
     """
-    marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     chosen = (
-        marked.filter(id_crc32_mod("doc_id", 4) != 2)
-        .withColumn("turn", F.xxhash64("doc_id"))
-        .orderBy("turn", "doc_id")
+        marked.filter(id_crc32_mod("id", 4) != 2)
+        .withColumn("turn", F.xxhash64("id"))
+        .orderBy("turn", "id")
         .limit(max_rows)  # the bound on training rows
     )
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", text_or_empty().alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("learner", F.pmod("turn", F.lit(learners)))
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    once = texts.groupBy("id", "turn", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    wide = materialize(once.mapInPandas(_counted_features(bits), f"id {once.schema['id'].dataType.simpleString()}, turn long, quality int, slots binary, counts binary, width long"), "quality-features")
+    # a window over at most max_rows narrow rows
+    so_far = wide.select("id", F.sum("width").over(W.orderBy("turn", "id").rowsBetween(W.unboundedPreceding, 0)).alias("so_far"))
+    rows = wide.join(F.broadcast(so_far.filter(F.col("so_far") <= max_features)), "id").withColumn("learner", F.pmod("turn", F.lit(learners)))
     fit = rows.groupBy("learner").applyInPandas(_trainer(bits, passes, alpha, beta, l1, l2), "rows long, slots binary, weights binary")
     total, seen = np.zeros((1 << bits) + 1), 0
     for r in fit.collect():  # one row per learner
@@ -160,15 +186,23 @@ def quality_score(spark, weights: np.ndarray):
     return lambda text_col="text": score(text_or_empty(text_col))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """One row per document: ``doc_id, held_out, score, predicted``."""
-    score = quality_score(docs.sparkSession, train_quality(docs, labels, **options))
-    scored = docs.select("doc_id", (id_crc32_mod("doc_id", 4) == 2).alias("held_out"), score().alias("score"))
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: ``doc_id, held_out, score, predicted``.
+
+    Every row is scored by its whole text alone, so rows of equal text have equal scores whatever
+    their id; null texts count as empty, and an empty text has the score of the bias.  A null id
+    is kept (its remainder is that of an empty text).  A score equal to ``threshold`` is a 1.
+    """
+    score = quality_score(docs.sparkSession, train_quality(docs, labels, id_col=id_col, text_col=text_col, **options))
+    scored = docs.select(F.col(id_col).alias("doc_id"), (id_crc32_mod(id_col, 4) == 2).alias("held_out"), score(text_col).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that the classifier accepts."""
-    score = quality_score(docs.sparkSession, train_quality(docs, labels, **options))
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that the classifier accepts.
+
+    Repeated rows are all kept or all rejected; null and empty texts share one score.
+    """
+    score = quality_score(docs.sparkSession, train_quality(docs, labels, id_col=id_col, text_col=text_col, **options))
     name = free_name(docs, "quality_score")
-    return docs.withColumn(name, score()).filter(F.col(name) >= threshold).drop(name)
+    return docs.withColumn(name, score(text_col)).filter(F.col(name) >= threshold).drop(name)
