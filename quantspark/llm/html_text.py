@@ -27,11 +27,18 @@ from .common import carried_id, restored_id
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video datalist select option noembed noframes title".split())
+HIDDEN = frozenset(
+    "head script style template noscript iframe object canvas audio video datalist noembed noframes title "
+    "desc metadata defs symbol annotation annotation-xml".split()  # the last are parts of drawings and formulas that are not shown
+)
+#: Inputs whose value a reader sees as text, or as a button's label.
+SHOWN_INPUT = frozenset("text search tel url email number date time month week datetime-local submit button reset".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tr ul".split()
 )
+#: Blocks with a layout of their own.
+LAID_OUT = frozenset("ul ol menu dir table li dd blockquote".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
 #: A start tag of the first kind ends an open element of the second, up to the given borders.
 TABLE_PARTS = frozenset("thead tbody tfoot".split())
@@ -60,6 +67,7 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NOT_DISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+_KEEPS_SPACE = re.compile(r"white-space\s*:\s*(?:pre|pre-wrap|break-spaces)\s*(?:;|!|\Z)", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -143,8 +151,9 @@ def parse(source: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether a reader sees the element.  What is only kept from screen readers (``aria-hidden``) is seen."""
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
+    if node.tag in HIDDEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return False
     if node.tag == "input" and a.get("type", "").lower() == "hidden":
         return False
@@ -284,6 +293,27 @@ def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
     return captions, rows + ([loose] if loose else [])
 
 
+def _closed_details(node: Node) -> Node:
+    """A closed ``details`` shows its first summary only."""
+    short = Node("div")
+    short.children = [c for c in node.children if not isinstance(c, str) and c.tag == "summary"][:1]
+    return short
+
+
+def _chosen_options(select: Node) -> list[Node]:
+    """The options marked as selected, the last one where only one can be.  Without a mark a list of choices shows nothing."""
+    chosen, todo = [], list(reversed(select.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or not visible(x):
+            continue
+        if x.tag == "option":
+            chosen += [x] * ("selected" in x.attrs)
+        else:
+            todo += reversed(x.children)
+    return chosen if "multiple" in select.attrs else chosen[-1:]
+
+
 def _span(cell: Node, name: str) -> int:
     text = cell.attrs.get(name, "1")
     return min(1000, int(text)) if text.isascii() and text.isdigit() else 1
@@ -351,9 +381,19 @@ def _render_one(x, page: Page) -> Generator:
         page.block(False)
     elif tag == "img":
         page.inline(x.attrs.get("alt", ""))
-    elif tag in ("input", "button") and x.attrs.get("value") and x.attrs.get("type", "").lower() in ("submit", "button", "reset"):
-        page.inline(x.attrs["value"])
-    elif tag == "pre":
+    elif tag == "input":
+        if (x.attrs.get("type", "").lower() or "text") in SHOWN_INPUT:
+            page.inline(x.attrs.get("value", ""))
+    elif tag == "select":
+        for option in _chosen_options(x):
+            page.inline(" ")
+            yield _render(option, page)
+        page.inline(" ")
+    elif tag == "details" and "open" not in x.attrs:
+        page.block(False)
+        yield _render(_closed_details(x), page)
+        page.block(False)
+    elif tag == "pre" or (tag in BLOCK - LAID_OUT and _KEEPS_SPACE.search(x.attrs.get("style", ""))):
         page.block(True)
         page.paste(_pre_text(x).strip("\n").replace("\r\n", "\n").split("\n"), "", "")
         page.block(True)
