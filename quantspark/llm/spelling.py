@@ -61,11 +61,20 @@ def deletion_keys(words: DataFrame, *carried: str) -> DataFrame:
     return distinct.select(key.alias("key"), *carried)
 
 
+def _by_shuffle(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that never gathers a side in the driver.
+
+    Both sides grow with the corpus, and what Spark expects of them is the size of compressed files
+    before a word becomes its keys, far below the rows that a broadcast would bring together.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _meetings(rows: DataFrame, name: str) -> DataFrame:
     """Ordered pairs of rows that share a key: ``name, n, other, other_n``."""
     left = rows.select("key", name, "n")
     right = rows.select("key", F.col(name).alias("other"), F.col("n").alias("other_n"))
-    return left.join(right, "key").filter(F.col(name) != F.col("other")).drop("key")
+    return _by_shuffle(left, right, "key").filter(F.col(name) != F.col("other")).drop("key")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def near_words(words: DataFrame) -> DataFrame:
     long = words.filter(length >= LONG_WORD).withColumn("name", F.xxhash64("word"))
     names = long.select(F.col("name"), "word")
     met = _meetings(deletion_keys(long, "name", "n"), "name").distinct()
-    met = met.join(names, "name").join(names.select(F.col("name").alias("other"), F.col("word").alias("other_word")), "other")
+    met = _by_shuffle(_by_shuffle(met, names, "name"), names.select(F.col("name").alias("other"), F.col("word").alias("other_word")), "other")
     met = met.filter((length > LONG_WORD) | (F.char_length("other_word") > LONG_WORD)).select("word", "n", F.col("other_word").alias("other"), "other_n")
     return short.unionByName(met).filter(F.levenshtein("word", "other", 1) == 1)
 
@@ -86,7 +95,7 @@ def near_words(words: DataFrame) -> DataFrame:
 def with_forms(words: DataFrame, ratio: float = 2.0) -> DataFrame:
     """``word, n, n_near, form, form_n``: the near word of largest count (ties: the first in code-point order), if it is ``ratio`` times the word's."""
     near = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form"))).alias("best"))
-    joined = words.join(near, "word", "left")
+    joined = _by_shuffle(words, near, "word", "left")
     much = -F.col("best.less") >= F.col("n") * ratio
     return joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(much, F.col("best.form")).alias("form"), F.when(much, -F.col("best.less")).alias("form_n")
@@ -101,10 +110,10 @@ def roots(forms: DataFrame) -> DataFrame:
     """
     forms = forms.select("word", F.col("form").alias("root"))
     inner = forms.select(F.col("word").alias("root"), F.lit(True).alias("goes_on"))
-    state = materialize(forms.join(inner, "root", "left").select("word", "root", F.coalesce("goes_on", F.lit(False)).alias("goes_on")), "spelling-roots")
+    state = materialize(_by_shuffle(forms, inner, "root", "left").select("word", "root", F.coalesce("goes_on", F.lit(False)).alias("goes_on")), "spelling-roots")
     while not state.filter("goes_on").isEmpty():
         onward = state.select(F.col("word").alias("root"), F.col("root").alias("next"), F.col("goes_on").alias("next_goes_on"))
-        moved = state.filter("goes_on").join(onward, "root").select("word", F.col("next").alias("root"), F.col("next_goes_on").alias("goes_on"))
+        moved = _by_shuffle(state.filter("goes_on"), onward, "root").select("word", F.col("next").alias("root"), F.col("next_goes_on").alias("goes_on"))
         before, state = state, materialize(state.filter("not goes_on").unionByName(moved), "spelling-roots")
         discard(before)
     return state.select("word", "root")
@@ -119,5 +128,5 @@ def spelling_variants(docs: DataFrame, least_length: int = 5, least_count: int =
     words = materialize(word_counts(docs, least_length, least_count, slip_every, id_col, text_col), "spelling-words")
     formed = materialize(with_forms(words, ratio), "spelling-forms")
     ends = roots(formed.filter("form is not null"))
-    found = formed.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    found = _by_shuffle(formed, ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
     return found.select("word", "form", "root", "n", "n_near", "form_n")

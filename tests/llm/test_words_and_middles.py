@@ -108,6 +108,21 @@ def test_spelling_of_awkward_rows_and_of_a_word_in_a_third_of_all_places(spark,
     assert got(S.spelling_variants(spark.createDataFrame(rows, "doc_id int, text string"))) == plain_variants(plain_counts(rows))
 
 
+def test_no_side_of_a_spelling_join_is_gathered_in_the_driver(spark, monkeypatch):
+    words = ["abcdefghij"[: 10 - i] + "z" * i for i in range(9)] + ["q" * 80, "q" * 81]
+    docs = spark.createDataFrame([(i, " ".join([w] * (3 * 2**i))) for i, w in enumerate(words)], "doc_id long, text string")
+    plans, write = [], S.materialize
+
+    def run(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(S, "materialize", lambda df, name: (run(df), write(df, name))[1])
+    assert len(run(S.spelling_variants(docs))) == len(words)
+    assert len(plans) > 5 and sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 # --- fill in the middle --------------------------------------------------------------------
 
 
